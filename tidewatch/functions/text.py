@@ -205,3 +205,8 @@ def stable_title(title: Column, snippet: Column, body: Column) -> Column:
     alt = F.coalesce(F.nullif(snippet, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 260))
     picked = F.when(weak, squeeze(alt)).otherwise(base)
     return truncate_words(F.trim(F.regexp_replace(picked, NETWORK_SUFFIX, "")), 180)
+
+
+def round_half_up(c: Column, digits: int) -> Column:
+    """Decimal rounding of a double, free of the noise beyond the eighth digit."""
+    return F.round(c.cast("decimal(28,8)"), digits).cast("double")
