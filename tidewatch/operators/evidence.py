@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls as U
-from ..plans.lineage import first_by, keep_first_of_each, with_rank
+from ..plans.lineage import first_by, keep_first_of_each, once, with_rank
 from ..rules import TRUSTED_DOMAINS, RadarProfile
 
 SOURCE_COLUMNS = [
@@ -84,15 +84,14 @@ def classify_hits(hits: DataFrame, profile: RadarProfile) -> DataFrame:
     """
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     market = F.lit(profile.market)
-    h = (
-        hits.withColumn("_title", text("title"))
-        .withColumn("_raw_url", text("url"))
-        .withColumn("url", U.normalise_url(F.col("_raw_url")))
-        .withColumn("snippet", text("snippet"))
-        .withColumn("target", text("target"))
-        .withColumn("_n", T.normalise(F.concat_ws("\n", "_title", "url", "snippet")))
-        .withColumn("domain", U.host(F.col("url")))
-    )
+    h = once(hits, {
+        "_title": text("title"), "_raw_url": text("url"), "url": U.normalise_url(text("url")),
+        "snippet": text("snippet"), "target": text("target"),
+    })
+    h = once(h, {
+        "_n": T.normalise(F.concat_ws("\n", "_title", "url", "snippet")), "domain": U.host(F.col("url")),
+        "_given": T.parse_date(F.col("published")), "_link_date": U.date_in_url(F.col("_raw_url")),
+    })
     is_market = F.col("target") == market
     named = (F.col("target") != "") & ~is_market
     grounds = [F.lit(T.normalise_literal(x).replace(" ", "")) for x in (profile.company, "grupo", "corporate") if x]
@@ -101,18 +100,18 @@ def classify_hits(hits: DataFrame, profile: RadarProfile) -> DataFrame:
     for g in grounds:
         corporate = corporate | F.contains("domain", g)
     state = T.normalise_literal(profile.state)
-    h = (
-        h.withColumn("_alias", company_alias(F.col("_n"), profile))
-        .withColumn("_target_named", named & has_column_term(F.col("_n"), F.col("target")))
-        .withColumn("_corporate", corporate)
-        .withColumn("city_ok", T.has_term(F.col("_n"), profile.city))
-        .withColumn("state_ok", T.has_term(F.col("_n"), state))
-        .withColumn("_foreign", _any_term(F.col("_n"), profile.foreign_cities))
-        .withColumn("company_alias", F.coalesce("_alias", F.when(named, F.col("target"))))
-        .withColumn("_scope", base_scope(*[F.col(c) for c in ("city_ok", "state_ok", "_foreign", "_corporate")]))
-        .withColumn("_given", T.parse_date(F.col("published")))
-        .withColumn("_date", F.coalesce("_given", U.date_in_url(F.col("_raw_url"))))
-    )
+    h = once(h.withColumns({"topics": topics(F.col("_n"), profile.topics), "_date": F.coalesce("_given", "_link_date")}), {
+        "_alias": company_alias(F.col("_n"), profile),
+        "_target_named": named & has_column_term(F.col("_n"), F.col("target")),
+        "_corporate": corporate,
+        "city_ok": T.has_term(F.col("_n"), profile.city),
+        "state_ok": T.has_term(F.col("_n"), state),
+        "_foreign": _any_term(F.col("_n"), profile.foreign_cities),
+        "_homonym": T.contains_any(F.col("_n"), profile.homonyms),
+    }).withColumns({
+        "company_alias": F.coalesce("_alias", F.when(named, F.col("target"))),
+        "_scope": base_scope(*[F.col(c) for c in ("city_ok", "state_ok", "_foreign", "_corporate")]),
+    })
     rival = named & (F.col("target") != F.lit(profile.company)) & F.col("_target_named")
     outside = F.when(F.col("city_ok"), "local")
     scope = (
@@ -124,7 +123,7 @@ def classify_hits(hits: DataFrame, profile: RadarProfile) -> DataFrame:
     located = F.lit(bool(profile.city))
     reason = (
         F.when(F.col("url") == "", "no_url")
-        .when(~is_market & T.contains_any(F.col("_n"), profile.homonyms), "homonym")
+        .when(~is_market & F.col("_homonym"), "homonym")
         .when(F.col("_alias").isNull() & named & ~F.col("_target_named"), "entity_not_named")
         .when(F.col("company_alias").isNull() & ~is_market, "no_entity")
         .when(own & located & (F.col("_scope") == "global"), "foreign")
@@ -140,37 +139,29 @@ def classify_hits(hits: DataFrame, profile: RadarProfile) -> DataFrame:
         + F.when(F.col("state_ok"), 0.12).otherwise(0.0)
         + F.when(dated, 0.08).otherwise(0.0),
     )
-    return (
-        h.withColumn("reject_reason", reason)
-        .withColumn("title", F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("url")))
-        .withColumn("channel", F.coalesce("channel", F.lit("web")))
-        .withColumn("category", F.coalesce("category", F.lit("geral")))
-        .withColumn("body", F.col("snippet"))
-        .withColumn("published", F.coalesce(F.date_format("_date", "yyyy-MM-dd"), F.lit("")))
-        .withColumn(
-            "published_kind",
-            F.when(F.col("_given").isNotNull(), "publicada").when(dated, "url").otherwise("desconhecida"),
-        )
-        .withColumn("is_current", F.coalesce(F.year("_date") >= profile.min_current_year, F.lit(False)))
-        .withColumn("is_direct", F.lit(False))
-        .withColumn("scope", scope)
-        .withColumn(
-            "fingerprint",
-            F.sha1(T.normalise(F.concat_ws(" ", "_title", F.substring("snippet", 1, 2400), "url"))),
-        )
-        .withColumn("topics", topics(F.col("_n"), profile.topics))
-        .withColumn("entity", F.coalesce(F.nullif(F.col("target"), F.lit("")), "company_alias", market))
-        .withColumn("confidence", confidence)
-        .withColumn("score", source_score(profile))
-        .select("pos", *SOURCE_COLUMNS, "reject_reason")
-    )
+    judged = h.withColumns({
+        "reject_reason": reason,
+        "title": F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("url")),
+        "channel": F.coalesce("channel", F.lit("web")),
+        "category": F.coalesce("category", F.lit("geral")),
+        "body": F.col("snippet"),
+        "published": F.coalesce(F.date_format("_date", "yyyy-MM-dd"), F.lit("")),
+        "published_kind": F.when(F.col("_given").isNotNull(), "publicada").when(dated, "url").otherwise("desconhecida"),
+        "is_current": F.coalesce(F.year("_date") >= profile.min_current_year, F.lit(False)),
+        "is_direct": F.lit(False),
+        "scope": scope,
+        "fingerprint": F.sha1(T.normalise(F.concat_ws(" ", "_title", F.substring("snippet", 1, 2400), "url"))),
+        "entity": F.coalesce(F.nullif(F.col("target"), F.lit("")), "company_alias", market),
+        "confidence": confidence,
+    })
+    return judged.withColumn("score", source_score(profile)).select("pos", *SOURCE_COLUMNS, "reject_reason")
 
 
 def _any_term(text: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | T.has_term(text, w)
-    return out
+    words = [T.normalise_literal(w) for w in words]
+    if not words:
+        return F.lit(False)
+    return text.rlike(r"(?U)(?<!\w)(?:" + "|".join(T.quote(w) for w in words) + r")(?!\w)")
 
 
 def admit(classified: DataFrame) -> DataFrame:
@@ -214,7 +205,7 @@ def source_quality(s: DataFrame) -> Column:
 
 def recency(published: Column, as_of: str) -> Column:
     """Weight of a publication date as seen on ``as_of``; undated 0.35."""
-    age = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), T.parse_date(published)))
+    age = F.datediff(F.lit(as_of).cast("date"), T.parse_date(published))
     return (
         F.when(age.isNull(), 0.35)
         .when(age <= 7, 1.0)
@@ -248,24 +239,26 @@ def enrich(
     s = sources.withColumn("_key", F.when(chosen, F.col("url"))).join(p, F.col("_key") == F.col("_page_url"), "left")
     found = F.col("_page_url").isNotNull()
     new_date = F.when(F.col("_p_published") != "", F.col("_p_published")).otherwise(F.col("published"))
-    s = (
-        s.withColumn("published", F.when(found, new_date).otherwise(F.col("published")))
-        .withColumn("_date", T.parse_date(F.col("published")))
-        .withColumn("_dated", found & F.col("_date").isNotNull())
-        .withColumn("title", F.when(found, T.truncate_words(
-            F.when(F.col("_p_title") != "", F.col("_p_title")).otherwise(F.col("title")), 320)).otherwise(F.col("title")))
-        .withColumn("body", F.when(found, T.truncate_words(F.col("_p_body"), 18000)).otherwise(F.col("body")))
-        .withColumn("is_direct", found | F.col("is_direct"))
-        .withColumn("is_current", F.when(F.col("_dated"), F.year("_date") >= profile.min_current_year).otherwise(F.col("is_current")))
-        .withColumn("published_kind", F.when(F.col("_dated"), "publicada").otherwise(F.col("published_kind")))
-        .withColumn("url", F.when(found & (F.col("_p_final_url") != ""), U.normalise_url(F.col("_p_final_url"))).otherwise(F.col("url")))
-        .withColumn("_n", T.normalise(F.concat_ws("\n", "title", "url", "snippet", "body")))
-        .withColumn("company_alias", F.when(found, F.coalesce(company_alias(F.col("_n"), profile), "company_alias")).otherwise(F.col("company_alias")))
-        .withColumn("city_ok", F.when(found, T.has_term(F.col("_n"), profile.city)).otherwise(F.col("city_ok")))
-        .withColumn("state_ok", F.when(found, T.has_term(F.col("_n"), profile.state)).otherwise(F.col("state_ok")))
-        .withColumn("scope", F.when(found & F.col("city_ok"), "local").when(found & F.col("state_ok"), "nacional").otherwise(F.col("scope")))
-        .withColumn("topics", F.when(found, topics(F.col("_n"), profile.topics)).otherwise(F.col("topics")))
-        .withColumn("score", F.when(found, source_score(profile)).otherwise(F.col("score")))
-    )
+    swap = lambda new, old: F.when(found, new).otherwise(F.col(old))
+    named = F.when(F.col("_p_title") != "", F.col("_p_title")).otherwise(F.col("title"))
+    moved = F.when(F.col("_p_final_url") != "", U.normalise_url(F.col("_p_final_url"))).otherwise(F.col("url"))
+    s = once(s, {
+        "published": swap(new_date, "published"), "title": swap(T.truncate_words(named, 320), "title"),
+        "body": swap(T.truncate_words(F.col("_p_body"), 18000), "body"), "is_direct": found | F.col("is_direct"), "url": swap(moved, "url"),
+    })
+    s = once(s, {
+        "_date": F.when(found, T.parse_date(F.col("published"))), "_n": T.normalise(F.concat_ws("\n", "title", "url", "snippet", "body")),
+    })
+    redated = F.col("_date").isNotNull()
+    s = once(s, {
+        "is_current": F.when(redated, F.year("_date") >= profile.min_current_year).otherwise(F.col("is_current")),
+        "published_kind": F.when(redated, "publicada").otherwise(F.col("published_kind")),
+        "company_alias": swap(F.coalesce(company_alias(F.col("_n"), profile), "company_alias"), "company_alias"),
+        "city_ok": swap(T.has_term(F.col("_n"), profile.city), "city_ok"),
+        "state_ok": swap(T.has_term(F.col("_n"), profile.state), "state_ok"),
+        "topics": swap(topics(F.col("_n"), profile.topics), "topics"),
+    })
+    placed = F.when(found & F.col("city_ok"), "local").when(found & F.col("state_ok"), "nacional").otherwise(F.col("scope"))
+    s = s.withColumn("scope", placed).withColumn("score", swap(source_score(profile), "score"))
     out = renumber(s.select("id", "pos", *SOURCE_COLUMNS))
     return out if keep is None else out.where(F.col("id") <= keep)

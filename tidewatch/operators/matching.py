@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.similarity import jaccard, ratio_ceiling, sequence_ratio
-from ..plans.lineage import first_by
+from ..plans.lineage import first_by, once
 
 # Weights of the similarity of two products.
 OVERLAP_WEIGHT, SEQUENCE_WEIGHT = 0.64, 0.24
@@ -20,17 +20,14 @@ UNIT_KINDS = ("g", "ml", "un", "m2", "raw", "none")
 def describe(items: DataFrame) -> DataFrame:
     """Items (name, brand, unit, sku, ...) with the reduced forms that similarity looks at."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return (
-        items.withColumn("_name", T.product_name(F.col("name")))
-        .withColumn("_tokens", T.product_tokens(F.col("_name")))
-        .withColumn("_brand", T.normalise(blank("brand")))
-        .withColumn("_sku", T.normalise(blank("sku")))
-        .withColumn("_q", T.quantity(blank("unit")))
-        .withColumn("_amount", F.bround(F.col("_q.amount"), 6))
-        .withColumn("_base", F.col("_q.base"))
-        .withColumn("_kind", F.when(F.col("_amount").isNotNull(), F.col("_base")).when(blank("unit") != "", "raw").otherwise("none"))
-        .drop("_q")
-    )
+    d = once(items, {
+        "_name": T.product_name(F.col("name")), "_brand": T.normalise(blank("brand")), "_sku": T.normalise(blank("sku")), "_q": T.quantity(blank("unit")),
+    })
+    amount = F.bround(F.col("_q.amount"), 6)
+    return d.withColumns({
+        "_tokens": T.product_tokens(F.col("_name")), "_amount": amount, "_base": F.col("_q.base"),
+        "_kind": F.when(amount.isNotNull(), F.col("_q.base")).when(blank("unit") != "", "raw").otherwise("none"),
+    }).drop("_q")
 
 
 def bonus(a: str, b: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls as U
-from ..plans.lineage import first_by, top_by
+from ..plans.lineage import first_by, once, top_by
 from ..rules import PageRules
 
 RULES = PageRules()
@@ -15,13 +15,11 @@ DATE_META = ("article:published_time", "datepublished", "publish_date", "date")
 COMMERCIAL_TYPES = ("COMMERCIAL_CANDIDATE", "ROOT_CANDIDATE")
 
 
-def page_type(url: Column, title: Column, body: Column, rules: PageRules = RULES) -> Column:
-    """Commercial standing of a page, first rule that fits."""
-    n = T.normalise(url)
-    text = T.normalise(F.substring(F.coalesce(body, F.lit("")), 1, 5000))
+def _page_type(url: Column, n: Column, title: Column, text: Column, rules: PageRules) -> Column:
+    """Page type from the URL and the normalised URL, title and text."""
     negative = (
         T.contains_any(n, rules.negative_hints)
-        | T.contains_any(T.normalise(title), rules.negative_hints)
+        | T.contains_any(title, rules.negative_hints)
         | T.contains_any(F.substring(text, 1, 1800), rules.negative_hints)
     )
     positive = T.contains_any(n, rules.path_hints) | T.contains_any(F.substring(text, 1, 1500), rules.content_hints)
@@ -35,6 +33,23 @@ def page_type(url: Column, title: Column, body: Column, rules: PageRules = RULES
     )
 
 
+def _page_forms(url: Column, title: Column, body: Column) -> list[Column]:
+    return [T.normalise(url), T.normalise(title), T.normalise(F.substring(F.coalesce(body, F.lit("")), 1, 5000))]
+
+
+def page_type(url: Column, title: Column, body: Column, rules: PageRules = RULES) -> Column:
+    """Commercial standing of a page, first rule that fits."""
+    forms = F.struct(*[f.alias(a) for f, a in zip(_page_forms(url, title, body), "ntb")])
+    return T.let(forms, lambda f: _page_type(url, f["n"], f["t"], f["b"], rules))
+
+
+def typed_pages(pages: DataFrame, url: str, title: str, body: str, rules: PageRules = RULES) -> DataFrame:
+    """Pages with ``page_type``, their texts normalised once."""
+    forms = dict(zip(("_fn", "_ft", "_fb"), _page_forms(F.col(url), F.col(title), F.col(body))))
+    kind = _page_type(F.col(url), F.col("_fn"), F.col("_ft"), F.col("_fb"), rules)
+    return once(once(pages, forms), {"page_type": kind}).drop("_fn", "_ft", "_fb")
+
+
 def price_gate(rules: PageRules = RULES):
     """Predicate for event classification: is this a page on which prices are offered?"""
     return lambda url, title, body: page_type(url, title, body, rules).isin(*COMMERCIAL_TYPES)
@@ -149,18 +164,13 @@ def commercial_links(pages: DataFrame, limit: int | None = 20, rules: PageRules
     """
     anchors = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>)"))
     a = pages.select("page_id", F.col("url").alias("base"), F.posexplode(anchors).alias("at", "tag"))
+    signal = url_signal(F.col("link"), rules) + F.when(T.contains_any(T.normalise(strip_tags(F.col("tag"))), rules.anchor_words), 0.35).otherwise(0.0)
     a = (
         a.withColumn("href", F.trim(decode_entities(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))))
         .where((F.col("href") != "") & ~F.col("href").rlike(r"^(?:javascript:|mailto:|tel:|#)"))
-        .withColumn("link", absolute_url(F.col("base"), F.col("href")))
-        .where(F.col("link").rlike(r"^[hH][tT][tT][pP][sS]?:"))
-        .where(~is_non_commercial(F.col("link"), rules))
-        .withColumn("label", T.normalise(strip_tags(F.col("tag"))))
-        .withColumn(
-            "signal",
-            url_signal(F.col("link"), rules) + F.when(T.contains_any(F.col("label"), rules.anchor_words), 0.35).otherwise(0.0),
-        )
     )
+    a = once(a, {"link": absolute_url(F.col("base"), F.col("href"))}).where(F.col("link").rlike(r"^[hH][tT][tT][pP][sS]?:"))
+    a = once(a.where(~is_non_commercial(F.col("link"), rules)), {"signal": signal})
     netloc = lambda c: F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     inside = netloc(F.col("link")) == netloc(F.col("base"))
     a = a.where((F.col("signal") > 0) & (inside | (F.col("signal") >= rules.external_link_score)))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.markup import MONEY, price_contexts
-from ..plans.lineage import first_by
+from ..plans.lineage import first_by, once
 from ..rules import NOT_A_PRICE_WORDS, TEXT_PRICE_WORDS, PageRules
-from .pages import COMMERCIAL_TYPES, page_title, page_type, strip_tags
+from .pages import COMMERCIAL_TYPES, page_title, strip_tags, typed_pages
 
 # Object keys read for each field, in order.
 PRICE_KEYS = ("price", "lowPrice", "salePrice", "sellingPrice", "bestPrice", "currentPrice", "value")
@@ -134,8 +134,8 @@ def with_page_type(pages: DataFrame, rules: PageRules) -> DataFrame:
     """Pages with their type; blocked and article pages are left out."""
     visible = strip_tags(F.regexp_replace(F.regexp_replace(
         "html", r"(?s)<!--.*?-->", " "), r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " "))
-    typed = pages.withColumn(
-        "page_type", page_type(F.col("url"), page_title(F.col("html")), F.substring(visible, 1, 7000), rules))
+    read = once(pages, {"_title": page_title(F.col("html")), "_text": F.substring(visible, 1, 7000)})
+    typed = typed_pages(read, "url", "_title", "_text", rules).drop("_title", "_text")
     return typed.where(~F.col("page_type").isin("BLOCKED", "ARTICLE_OR_EMPLOYMENT"))
 
 
@@ -144,23 +144,18 @@ def object_items(objects: DataFrame, pages: DataFrame, rules: PageRules) -> Data
     v = F.col("obj")
     meta = pages.select("page_id", "source", "role", "url", "location_note", "page_type")
     kinds = schema_types(v)
-    known = F.arrays_overlap(kinds, F.array(*[F.lit(t) for t in rules.schema_types]))
     brand = F.coalesce(F.try_variant_get(v, "$.brand.name", "string"), F.when(
         ~F.coalesce(F.schema_of_variant(_get(v, "brand", "variant")), F.lit("")).startswith("OBJECT<"), _get(v, "brand")), F.lit(""))
     present = lambda key: F.coalesce(_get(v, key), F.lit("")) != ""
-    o = (
-        objects.withColumn("_types", kinds)
-        .withColumn("_known", known)
-        .where((F.size("_types") == 0) | F.col("_known") | (_get(v, "offers", "variant").isNotNull() & present("name")))
-        .withColumn("name", _first_text(v, NAME_KEYS))
-        .withColumn("price", price_of(v))
-        .where((F.col("name") != "") & plausible_price(F.col("name"), F.col("price"), F.coalesce(_get(v, "description"), F.lit(""))))
-        .withColumn("brand", F.trim(brand))
-        .withColumn("unit", _first_text(v, UNIT_KEYS))
-        .withColumn("sku", _first_text(v, CODE_KEYS))
-        .withColumn("old_price", first_positive(F.array(*[_get(v, k) for k in OLD_PRICE_KEYS])))
-        .join(meta, "page_id")
-    )
+    o = once(objects, {"_types": kinds, "name": _first_text(v, NAME_KEYS), "_offered": _get(v, "offers", "variant").isNotNull() & present("name")})
+    o = o.withColumn("_known", F.arrays_overlap("_types", F.array(*[F.lit(t) for t in rules.schema_types])))
+    o = o.where((F.col("name") != "") & ((F.size("_types") == 0) | F.col("_known") | F.col("_offered")))
+    o = once(o, {"price": price_of(v)}).where(
+        plausible_price(F.col("name"), F.col("price"), F.coalesce(_get(v, "description"), F.lit(""))))
+    o = once(o, {
+        "brand": F.trim(brand), "unit": _first_text(v, UNIT_KEYS), "sku": _first_text(v, CODE_KEYS),
+        "old_price": first_positive(F.array(*[_get(v, k) for k in OLD_PRICE_KEYS])),
+    }).join(meta, "page_id")
     has_brand = _get(v, "brand", "variant").isNotNull() & (F.coalesce(_get(v, "brand"), F.lit("?")) != "")
     confidence = (
         F.lit(0.40)
@@ -186,14 +181,13 @@ def text_items(pages: DataFrame) -> DataFrame:
         .withColumn("_ctx", price_contexts("html"))
         .select("page_id", "source", "role", "url", "location_note", "page_type", F.posexplode("_ctx").alias("_at", "_c"))
         .withColumn("_text", F.col("_c.context"))
-        .withColumn("price", T.parse_money(F.try_element_at(F.regexp_extract_all("_text", F.lit(MONEY)), F.lit(-1))))
-        .where(F.col("price").isNotNull())
-        .withColumn("_linked", F.trim(F.array_join(F.slice("_c.links", 1, 3), " ")))
     )
+    linked = F.trim(F.array_join(F.slice("_c.links", 1, 3), " "))
+    t = once(t, {"price": T.parse_money(F.try_element_at(F.regexp_extract_all("_text", F.lit(MONEY)), F.lit(-1))), "_linked": linked})
     plain = F.regexp_replace("_text", r"R\$\s*[0-9.,]+", " ")
+    t = once(t.where(F.col("price").isNotNull()), {"name": T.squeeze(F.when(F.length("_linked") < 5, plain).otherwise(F.col("_linked")))})
     return (
-        t.withColumn("name", T.squeeze(F.when(F.length("_linked") < 5, plain).otherwise(F.col("_linked"))))
-        .where(F.length("name").between(5, 180) & plausible_price(F.col("name"), F.col("price"), F.col("_text")))
+        t.where(F.length("name").between(5, 180) & plausible_price(F.col("name"), F.col("price"), F.col("_text")))
         .where(T.contains_any(T.normalise(F.col("_text")), TEXT_PRICE_WORDS))
         .select(
             "page_id", F.array(F.col("_at")).alias("visit"), T.normalise(F.col("name")).alias("product_key"),

@@ -96,11 +96,12 @@ def external_pressure(events: DataFrame, company: str, market: str = "mercado")
         F.min("rank").alias("first_rank"),
     )
     leaders = per.orderBy(F.desc("force"), F.asc("first_rank")).limit(5)
-    names = leaders.agg(F.array_sort(F.collect_list(F.struct((-F.col("force")).alias("f"), "first_rank", "entity"))).alias("l"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("force")).alias("f"), "first_rank", "entity")))
+    names = leaders.agg(F.array_join(F.transform(listed, lambda x: x["entity"]), "|").alias("l"))
     total = per.agg(
         F.max("force").alias("leader"), F.count(F.lit(1)).alias("entities"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("confirmed"), F.lit(0)).alias("confirmed"),
-    ).withColumn("names", F.transform(names.scalar(), lambda x: x["entity"]))
+    ).withColumn("names", names.scalar())
     diversity = F.least(F.lit(1.0), F.col("entities") / 4)
     corroboration = F.least(F.lit(1.0), F.col("confirmed") / F.greatest(F.lit(1), F.col("n")))
     intensity = F.least(F.lit(100.0), F.col("leader") / 2.8)
@@ -110,7 +111,7 @@ def external_pressure(events: DataFrame, company: str, market: str = "mercado")
         F.when(F.col("n") == 0, "NÃO CALCULADO").otherwise(level(score, 45)).alias("label"),
         T.round_half_up(diversity, 2).alias("coverage"),
         T.round_half_up(corroboration, 2).alias("corroboration"),
-        F.array_join("names", "|").alias("entities"),
+        F.col("names").alias("entities"),
         F.lit("pressao_externa").alias("type"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..plans.lineage import once
 
 # Names up to this many are broadcast; more go through a join on letter triples.
 BROADCAST_NAMES = 10_000
@@ -13,7 +14,7 @@ BROADCAST_NAMES = 10_000
 def cited(items: DataFrame, key: str) -> DataFrame:
     """Items with an ``evidence_ids`` array of texts or numbers, one row per numeric id."""
     ids = F.filter(F.transform("evidence_ids", lambda x: x.cast("string")), lambda x: x.rlike(r"^\d+$"))
-    return items.select(key, F.explode(ids).cast("long").alias("source_id")).distinct()
+    return items.select(key, F.explode(F.transform(ids, lambda x: x.cast("long"))).alias("source_id")).distinct()
 
 
 def invalid_evidence(items: DataFrame, sources: DataFrame, key: str = "signal_id") -> DataFrame:
@@ -49,8 +50,8 @@ def cap_confidence(items: DataFrame, sources: DataFrame, key: str = "signal_id")
 def mentioned(names: DataFrame, sources: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
     """Distinct ``name`` values whose normalised form occurs in some source text."""
     n = names.select(F.trim(name).alias("name")).where(F.col("name") != "").distinct()
-    n = n.withColumn("_n", T.normalise(F.col("name")))
-    t = sources.select(T.normalise(F.col(text)).alias("_t"))
+    n = once(n, {"_n": T.normalise(F.col("name"))})
+    t = once(sources.select(text), {"_t": T.normalise(F.col(text))}).select("_t")
     if n.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
         hit = t.join(F.broadcast(n), F.contains("_t", F.col("_n")))
         return hit.select("name").distinct()

@@ -16,6 +16,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add (or replace) ``columns`` so that each is computed once per row.
+
+    Filters and projections further up would otherwise be merged into their
+    inputs and repeat a costly expression at every use. A generated row is a
+    boundary that the optimizer does not merge through.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(*columns)
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def with_rank(df: DataFrame, order: list[Column], name: str, keys: list[str] | None = None) -> DataFrame:
     """Add the 1-based rank by ``order`` (a total order), within ``keys`` if given.
 
