@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # A price in text, and elements without a body.
 MONEY = r"(?i)R\$\s*([0-9]{1,3}(?:\.[0-9]{3})*(?:,[0-9]{2})?|[0-9]+(?:\.[0-9]{2}))"
@@ -73,7 +74,10 @@ def _price_contexts(html: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<context:string,links:array<string>>>")
+_CONTEXTS = ArrayType(StructType([StructField("context", StringType()), StructField("links", ArrayType(StringType()))]))
+
+
+@F.pandas_udf(_CONTEXTS)
 def price_contexts(html: pd.Series) -> pd.Series:
     """For every text with a price: the text of the element two above its own, and the links in it."""
     return html.map(_price_contexts)

@@ -6,11 +6,10 @@ Tokens are rows (doc_id, pos, token_id, text, box, confidence, page_w, page_h);
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes as B, text as T
-from ..plans.lineage import top_by, with_rank
+from ..plans.lineage import fold_groups, top_by, with_rank
 
 TOKEN_COLUMNS = ["doc_id", "pos", "token_id", "text", "box", "confidence", "page_w", "page_h"]
 
@@ -62,9 +61,8 @@ _MERGED = (
 )
 
 
-def _merge_lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge the fragments of one band of a page, line by line."""
-    rows = sorted(pdf.to_dict("records"), key=lambda r: (r["y1"], r["x1"], r["pos"]))
+def _merge_lines(rows: list[dict]) -> list[tuple]:
+    """Merge the fragments of one band of a page, line by line; ``rows`` come top to bottom, left to right."""
     lines: list[list[dict]] = []
     for r in rows:
         mid, tall = (r["y1"] + r["y2"]) / 2, max(0.0, r["y2"] - r["y1"])
@@ -106,8 +104,7 @@ def _merge_lines(pdf: pd.DataFrame) -> pd.DataFrame:
             out.append((d["doc_id"], lead["y1"], lead["x1"], lead["pos"], i, d["token_id"], d["text"],
                         {"x_min": d["x1"], "y_min": d["y1"], "x_max": d["x2"], "y_max": d["y2"]},
                         d["confidence"], d["page_w"], d["page_h"], d["merged"]))
-    cols = ["doc_id", "y0", "x0", "p0", "seq", "token_id", "text", "box", "confidence", "page_w", "page_h", "merged"]
-    return pd.DataFrame(out, columns=cols)
+    return out
 
 
 def merge_fragments(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
@@ -132,10 +129,11 @@ def merge_fragments(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
     banded = boxed.withColumn("_low", low).join(runs, ["doc_id", "_low"])
     doc_type = tokens.schema["doc_id"].dataType.simpleString()
     b = F.col("box")
-    merged = banded.select(
+    pieces = banded.select(
         "doc_id", "band", "pos", F.col("token_id").cast("long").alias("token_id"), "text", "confidence", "page_w", "page_h",
         b["x_min"].alias("x1"), b["y_min"].alias("y1"), b["x_max"].alias("x2"), b["y_max"].alias("y2"),
-    ).groupBy("doc_id", "band").applyInPandas(_merge_lines, _MERGED.format(doc=doc_type))
+    )
+    merged = fold_groups(pieces, ["doc_id", "band"], ["y1", "x1", "pos"], _merge_lines, _MERGED.format(doc=doc_type))
 
     solo = (F.length(F.trim("text")) == 1) & F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$")
     p = plain.withColumn("_solo", solo)
@@ -186,7 +184,7 @@ def anchor_regions(
         for c in ("_gx", "_gy"):
             around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
         met = side.select(*keys, "_w", "_h", "_cx", "_cy", *cell(F.col("_cx"), F.col("_cy"))).join(around, ["doc_id", "_gx", "_gy"])
-        met = met.where((dx <= max_dx * F.col("_w")) & (dy <= max_dy * F.col("_h"))).withColumn("distance", weighted)
+        met = met.where((dx <= max_dx * F.col("_w")) & (dy <= max_dy * F.col("_h"))).withColumn("distance", F.round(weighted, 9))
         return met.groupBy(*keys).agg(
             F.min(F.struct("distance", "anchor_no")).alias("n"),
             F.first(F.least(1.6 * sx * F.col("_w"), sy * F.col("_h"))).alias("_sure"))

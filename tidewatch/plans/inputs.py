@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import boxes as B
+from ..functions import boxes as B, text as T
 from ..rules import PageRules, RadarProfile
 
 AS_OF = "2024-02-01"
@@ -154,14 +154,14 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.sum(unit_price).alias("s"), F.count(F.lit(1)).alias("n"), F.max("l_discount").alias("d"))
         .select(
             "entity", F.concat(F.lower("entity"), F.lit(".example.com")).alias("source_domain"), F.col("product_id").cast("string").alias("product_key"),
-            "product_id", "run", F.round(F.col("s").cast("double") / F.col("n"), 4).alias("price"), (F.col("d") >= 0.05).alias("promotion"))
+            "product_id", "run", T.round_half_up(F.col("s").cast("double") / F.col("n"), 4).alias("price"), (F.col("d") >= 0.05).alias("promotion"))
     )
 
 
 SNAPSHOTS_SQL = """
 snapshots AS (
   SELECT r_name AS entity, lower(r_name) || '.example.com' AS source_domain, CAST(l_partkey AS VARCHAR) AS product_key, l_partkey AS product_id,
-    year(l_shipdate) AS run, round(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(20,8)))::DOUBLE / count(*), 4) AS price,
+    year(l_shipdate) AS run, round(CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(20,8)))::DOUBLE / count(*) AS DECIMAL(28,8)), 4)::DOUBLE AS price,
     max(l_discount) >= 0.05 AS promotion
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
   GROUP BY r_name, l_partkey, year(l_shipdate))
@@ -342,7 +342,7 @@ def extractor_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     """Line items as two extractors see an order: the new one renames, re-prices, misses and adds some."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
     j = li.join(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = T.round_half_up(F.col("l_extendedprice") / F.col("l_quantity"), 2)
     unit = F.concat(F.col("p_size").cast("string"), F.lit(" un"))
     base = j.select(
         F.col("l_orderkey").alias("doc_id"), _line_key().alias("pos"), F.col("p_name").alias("name"), "p_type",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -69,6 +72,48 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], payload: list[
     return df.groupBy(*keys).agg(picked.alias("_p")).select(*keys, "_p.*")
 
 
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``fold`` makes of every group's rows, given in ``order``.
+
+    For many small groups: tasks take whole batches and hold one group at a time,
+    which spares the cost of a frame per group.
+    """
+    names = [c.strip().split(" ")[0] for c in _top_level(schema)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key, out = [], None, []
+        rows = (r for b in batches for r in b.to_dict("records"))
+        for k, group in groupby(rows, key=lambda r: tuple(r[c] for c in keys)):
+            if k != key and held:
+                out += fold(held)
+                held = []
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            key = k
+            held += group
+        if held:
+            out += fold(held)
+        yield pd.DataFrame(out, columns=names)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInPandas(run, schema)
+
+
+def _top_level(schema: str) -> list[str]:
+    """The columns of a schema text, nested types kept whole."""
+    out, depth, cur = [], 0, ""
+    for ch in schema:
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    return [*out, cur]
+
+
 def keep_first_of_each(df: DataFrame, rank: str, keys: list[str]) -> DataFrame:
     """Rows a scan by ``rank`` keeps when it skips any row sharing one of ``keys`` with a kept row.
 

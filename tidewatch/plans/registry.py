@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import radar_queries
+from . import extraction_queries, radar_queries, trade_queries
 
-QUERIES = {**radar_queries.QUERIES}
-ORACLES = {**radar_queries.ORACLES}
+QUERIES = {**trade_queries.QUERIES, **radar_queries.QUERIES, **extraction_queries.QUERIES}
+ORACLES = {**trade_queries.ORACLES, **radar_queries.ORACLES, **extraction_queries.ORACLES}
