@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes as B, text as T
-from ..plans.lineage import fold_groups, top_by, with_rank
+from ..plans.lineage import cut, fold_groups, top_by, with_rank
 
 TOKEN_COLUMNS = ["doc_id", "pos", "token_id", "text", "box", "confidence", "page_w", "page_h"]
 
@@ -113,6 +113,7 @@ def merge_fragments(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
     Pages are cut into bands of rows that touch; lines never cross bands, so each
     band is merged by itself. Pages without any box join runs of single letters.
     """
+    tokens = cut(tokens)
     flat = tokens.groupBy("doc_id").agg(F.bool_or(F.col("box").isNotNull()).alias("_geo"))
     t = tokens.join(flat, "doc_id")
     boxed = t.where(F.col("box").isNotNull()).drop("_geo")
@@ -133,7 +134,7 @@ def merge_fragments(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
         "doc_id", "band", "pos", F.col("token_id").cast("long").alias("token_id"), "text", "confidence", "page_w", "page_h",
         b["x_min"].alias("x1"), b["y_min"].alias("y1"), b["x_max"].alias("x2"), b["y_max"].alias("y2"),
     )
-    merged = fold_groups(pieces, ["doc_id", "band"], ["y1", "x1", "pos"], _merge_lines, _MERGED.format(doc=doc_type))
+    merged = cut(fold_groups(pieces, ["doc_id", "band"], ["y1", "x1", "pos"], _merge_lines, _MERGED.format(doc=doc_type)))
 
     solo = (F.length(F.trim("text")) == 1) & F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$")
     p = plain.withColumn("_solo", solo)

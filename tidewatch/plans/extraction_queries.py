@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import boxes as B, text as T
@@ -11,7 +9,7 @@ from ..operators import anchors as A, diff as X, flyer as Y, gates as Q, spatial
 from ..sources import exports, history as H, landing as L
 from ..streaming import feeds
 from . import inputs as I
-from .lineage import cut
+from .lineage import cut, shared_folder
 
 R = lambda x, n: f"round(CAST({x} AS DECIMAL(28,8)), {n})::DOUBLE"
 
@@ -79,7 +77,7 @@ def letter_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _grid_regions(spark, sf):
-    t = I.grid_tokens(spark, sf)
+    t = cut(I.grid_tokens(spark, sf))
     anchors = t.where(F.length("text") >= 12).withColumn("anchor_no", F.col("pos"))
     return t, anchors, S.anchor_regions(t, anchors, 0.22, 0.10)
 
@@ -224,7 +222,7 @@ def table_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 def history_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs of price snapshots written to history, the second read against the first."""
-    h = H.History(spark, tempfile.mkdtemp(prefix="history-", dir=_shared(spark)))
+    h = H.History(spark, shared_folder(spark))
     s = I.snapshots(spark, sf).withColumns({"product_name": F.col("product_key"), "url": F.lit(""), "pos": F.col("product_id")})
     empty = spark.createDataFrame([], "fingerprint string, url string, title string, category string, score double, is_current boolean, body string, id long")
     none = spark.createDataFrame([], "event_id string, kind string, title string, importance int, evidence_ids array<long>")
@@ -234,21 +232,9 @@ def history_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         "entity", "product_key", "previous_price", "current_price", T.round_half_up(F.col("change_pct"), 2).alias("change_pct"), "promotion_now")
 
 
-def _shared(spark: SparkSession) -> str | None:
-    """A folder all executors see: the one the session names for checkpoints, if it is a plain path."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        return None
-    import os
-
-    path = path.removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def _run_stream(spark: SparkSession, stream: DataFrame, schema_of: DataFrame) -> DataFrame:
     """Run a stream over what has landed and read what it wrote."""
-    out = tempfile.mkdtemp(prefix="stream-", dir=_shared(spark))
+    out = shared_folder(spark)
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKSDB)
     try:

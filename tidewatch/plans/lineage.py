@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder the cluster shares: the session's checkpoint folder, else a local one."""
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="tidewatch-")
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that later reads agree and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewatch-"))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from there.
+
+    Later reads agree with each other, survive lost executors, read only the
+    columns they need and know the table's size.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
