@@ -171,8 +171,8 @@ def test_gold_metrics(spark):
     assert score([(1, "p", "1.00"), (2, "p", "x")], [(1, "p", "1.01"), (2, "p", " X ")]) == (1.0, 1.0, 1.0, 0.0)
     assert score([(1, "p", "1.0"), (2, "p", "9.0")], [(1, "p", "1.0"), (2, "p", "5.0")]) == (0.5, 0.5, 0.5, 0.0)
     assert score([(1, "p", "1.0"), (2, "p", "1.0")], [(1, "p", "1.0")]) == (1.0, 1.0, 1.0, 0.5)
-    # a run of values of which only neighbours agree is matched one by one: 1.00-1.02, then 1.04-1.03
-    assert score([(1, "p", "1.00"), (2, "p", "1.04")], [(1, "p", "1.02"), (2, "p", "1.03")]) == (1.0, 1.0, 1.0, 0.0)
+    # a run of values of which only neighbours agree is matched one by one: 1.00-1.015, then 1.03-1.02
+    assert score([(1, "p", "1.00"), (2, "p", "1.03")], [(1, "p", "1.015"), (2, "p", "1.02")]) == (1.0, 1.0, 1.0, 0.0)
 
 
 def test_percentiles_and_gates(spark):
