@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import boxes as B, text as T
 from ..rules import PageRules, RadarProfile
+from .lineage import spread
 
 AS_OF = "2024-02-01"
 
@@ -37,7 +38,9 @@ PAGE_RULES = PageRules(
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    # texts take long to judge and may lie in one small file
+    return spread(df) if name in ("documents", "pages", "part") else df
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:

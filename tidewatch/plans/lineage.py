@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when a scan has fewer partitions than that; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add (or replace) ``columns`` so that each is computed once per row.
 
