@@ -8,14 +8,20 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder the cluster shares: the session's checkpoint folder, else a local one."""
+    """A fresh path in the folder that the cluster shares, which ``spark.checkpoint.dir`` names.
+
+    Only a session on one machine may go without that setting; it then works in
+    a folder of its own.
+    """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidewatch-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -32,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores when a scan has fewer partitions than that; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -62,9 +78,8 @@ def with_rank(df: DataFrame, order: list[Column], name: str, keys: list[str] | N
     local = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per shuffle partition: a size set by configuration, not by data
-    starts = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(
-        F.col("a._part").alias("_part")
-    ).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     out = (
         placed.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
@@ -79,8 +94,6 @@ def with_rank(df: DataFrame, order: list[Column], name: str, keys: list[str] | N
 
 def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """First ``k`` rows of every key; Spark limits each key before the shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
