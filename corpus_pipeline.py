@@ -7,16 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import common, exact_dedup, mixing, pieces
+from tidewatch.llm import common, exact_dedup, mixing, near_dup, pieces, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned list let pass."""
+    return quality.keep_good(docs, common.documents(spark, sf_dir, "labels"))
+
+
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, by five-word shingles and similarity 0.8."""
+    return near_dup.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
@@ -28,7 +38,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", good_quality),
     ("exact dedup", dedup_exact),
+    ("near dedup", dedup_near),
     ("mixing", mix_sources),
     ("sentencepiece", encode_pieces),
 ]

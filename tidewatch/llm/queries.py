@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, token_counts
+from . import exact_dedup, html_text, language, mixing, near_dup, pieces, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op4_near_dup": near_dup.op4_near_dup,
+    "op5_quality": quality.op5_quality,
+    "op6_html_text": html_text.op6_html_text,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_language": language.op9_language,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op8_exact_dedup": exact_dedup.OP8_SQL}
