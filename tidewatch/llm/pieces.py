@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, map_texts
 
@@ -37,17 +39,17 @@ def read_character_map(blob: bytes) -> dict[bytes, bytes]:
     found: dict[bytes, bytes] = {}
     # a unit keeps the byte that leads to it, whether a value ends there, and the way to its children
     offset = lambda u: (u >> 10) << ((u & 512) >> 6)
-    todo = [(0, b"")]
+    todo, every = [(0, b"")], np.arange(1, 256)
     while todo:
         node, prefix = todo.pop()
         base = node ^ offset(int(units[node]))
         if prefix and (int(units[node]) >> 8) & 1:
             at = int(units[base]) & 0x7FFFFFFF
             found[prefix] = texts[at:texts.index(b"\0", at)]
-        for byte in range(1, 256):
-            child = base ^ byte
-            if child < len(units) and int(units[child]) & 0x800000FF == byte:
-                todo.append((child, prefix + bytes([byte])))
+        child = base ^ every
+        child = child[child < len(units)]
+        for c in child[(units[child] & 0x800000FF) == (base ^ child)].tolist():
+            todo.append((c, prefix + bytes([base ^ c])))
     return found
 
 
@@ -57,17 +59,26 @@ class Aligner:
     def __init__(self, spec) -> None:
         self.map = read_character_map(spec.precompiled_charsmap)
         self.prefix, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        # longest alternative first, so that a match is the longest prefix in the map
-        self.longest = re.compile(b"|".join(map(re.escape, sorted(self.map, key=len, reverse=True)))) if self.map else None
+        # the lengths of the keys that begin with a byte, longest first, so that a match is the longest prefix in the map
+        lengths: dict[int, set[int]] = {}
+        for key in self.map:
+            lengths.setdefault(key[0], set()).add(len(key))
+        self.lengths = {byte: sorted(found, reverse=True) for byte, found in lengths.items()}
+        self.first = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in sorted(lengths)) + b"]") if lengths else None
 
     def chunks(self, raw: bytes) -> list[tuple[bytes, int, int]]:
-        """Runs (bytes, begin, end): copied byte by byte if as long as their source, else made from all of it."""
-        out, at = [], 0
-        for m in self.longest.finditer(raw) if self.longest else ():
-            if m.start() > at:
-                out.append((raw[at:m.start()], at, m.start()))
-            out.append((self.map[m.group()], m.start(), m.end()))
-            at = m.end()
+        """Runs (bytes, begin, end): copied byte by byte, or made by a match from all of its source."""
+        out, at, look = [], 0, 0
+        while self.first and (m := self.first.search(raw, look)):
+            i = m.start()
+            key = next((k for n in self.lengths[raw[i]] if (k := raw[i:i + n]) in self.map), None)
+            if key is None:
+                look = i + 1  # keys begin where characters do, so no match begins inside this one
+                continue
+            if i > at:
+                out.append((raw[at:i], at, i))
+            at = look = i + len(key)
+            out.append((self.map[key], i, at))
         if at < len(raw):
             out.append((raw[at:], at, len(raw)))
         return out
@@ -121,7 +132,7 @@ def aligned_encoder(path: str):
         made, begin, end = aligner.align(raw)
         size = lengths[ids] if len(ids) else np.zeros(0, np.int64)
         if (ids == unknown).any():  # an unknown piece is as long as the library says
-            pieces = model.encode(text, out_type="immutable_proto").pieces
+            pieces = model.encode(text, return_type="proto").pieces
             size = np.array([len(p.piece.encode()) for p in pieces])
         last = np.cumsum(size)
         if (last[-1] if len(last) else 0) != len(made):
@@ -152,11 +163,6 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "do
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """The texts of arrays of ids, as the library decodes them, in the column ``decoded``."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
