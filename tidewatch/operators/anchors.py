@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes as B
-from ..plans.lineage import cut, first_by, with_rank
+from ..plans.lineage import cut, first_by, numbered
 
 # The patterns of the rules.
 SYMBOL = r"(?i)(?:R\$|\$|€|£|US\$)"
@@ -161,7 +161,7 @@ def detect_anchors(tokens: DataFrame, rules: list[str | Callable] = ("currency",
     frames = [(RULES[r] if isinstance(r, str) else r)(tokens).select(*ANCHOR_COLUMNS).withColumn("_rule_no", F.lit(i)) for i, r in enumerate(rules)]
     kept = suppress_overlaps(reduce(DataFrame.unionByName, frames), tokens)
     order = [F.desc("confidence"), F.asc("_rule_no"), F.asc("pos")]
-    return with_rank(kept, order, "anchor_no", keys=["doc_id"]).drop("_rule_no")
+    return numbered(kept, order, "anchor_no").drop("_rule_no")
 
 
 def suppress_overlaps(anchors: DataFrame, tokens: DataFrame, most: float = 0.60, grid: int = 32) -> DataFrame:

@@ -6,10 +6,10 @@ Tokens are rows (doc_id, pos, token_id, text, box, confidence, page_w, page_h);
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import boxes as B, text as T
-from ..plans.lineage import cut, fold_groups, top_by, with_rank
+from ..plans.lineage import numbered, top_by
 
 TOKEN_COLUMNS = ["doc_id", "pos", "token_id", "text", "box", "confidence", "page_w", "page_h"]
 
@@ -52,109 +52,56 @@ def reading_order(tokens: DataFrame, line_height: float = 0.02) -> DataFrame:
     t = tokens.withColumn("_flag", F.when(placed, 0).otherwise(1)).withColumn("_line", line).withColumn(
         "_x", F.when(placed, F.col("cx_rel")).otherwise(0.0)).withColumn("_pos", F.col("pos"))
     order = [F.asc("_flag"), F.asc("_line"), F.asc("_x"), F.asc("_pos")]
-    return with_rank(t, order, "pos", keys=["doc_id"]).drop("_flag", "_line", "_x", "_pos")
-
-
-_MERGED = (
-    "doc_id {doc}, y0 double, x0 double, p0 long, seq int, token_id long, text string, "
-    "box struct<x_min:double,y_min:double,x_max:double,y_max:double>, confidence double, page_w double, page_h double, merged array<long>"
-)
-
-
-def _merge_lines(rows: list[dict]) -> list[tuple]:
-    """Merge the fragments of one band of a page, line by line; ``rows`` come top to bottom, left to right."""
-    lines: list[list[dict]] = []
-    for r in rows:
-        mid, tall = (r["y1"] + r["y2"]) / 2, max(0.0, r["y2"] - r["y1"])
-        for line in lines:
-            ref = line[0]
-            mean = (max(0.0, ref["y2"] - ref["y1"]) + tall) / 2
-            if abs((ref["y1"] + ref["y2"]) / 2 - mid) <= max(10.0, mean * 0.40):
-                line.append(r)
-                break
-        else:
-            lines.append([r])
-    out = []
-    for line in lines:
-        lead = line[0]
-        done, cur = [], None
-        for r in sorted(line, key=lambda r: r["x1"]):
-            nxt = dict(r, merged=[r["token_id"]])
-            if cur is None:
-                cur = nxt
-                continue
-            tall = max(1.0, (max(0.0, cur["y2"] - cur["y1"]) + max(0.0, nxt["y2"] - nxt["y1"])) / 2)
-            gap = nxt["x1"] - cur["x2"]
-            lone = len(cur["text"].strip()) == 1 or len(nxt["text"].strip()) == 1
-            if -tall * 0.5 <= gap <= tall * 0.45 * (1.8 if lone else 1.0):
-                a, b = max(1, len(cur["text"])), max(1, len(nxt["text"]))
-                flat = not (nxt["x2"] > nxt["x1"] or nxt["y2"] > nxt["y1"])
-                cur = dict(
-                    cur, text=cur["text"] + nxt["text"], merged=cur["merged"] + nxt["merged"],
-                    confidence=round((cur["confidence"] * a + nxt["confidence"] * b) / (a + b), 4),
-                    **({} if flat else {
-                        "x1": min(cur["x1"], nxt["x1"]), "y1": min(cur["y1"], nxt["y1"]),
-                        "x2": max(cur["x2"], nxt["x2"]), "y2": max(cur["y2"], nxt["y2"])}),
-                )
-            else:
-                done.append(cur)
-                cur = nxt
-        done.append(cur)
-        for i, d in enumerate(done):
-            out.append((d["doc_id"], lead["y1"], lead["x1"], lead["pos"], i, d["token_id"], d["text"],
-                        {"x_min": d["x1"], "y_min": d["y1"], "x_max": d["x2"], "y_max": d["y2"]},
-                        d["confidence"], d["page_w"], d["page_h"], d["merged"]))
-    return out
-
-
-def merge_fragments(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
+    return numbered(t, order, "pos").drop("_flag", "_line", "_x", "_pos")
+
+
+def merge_fragments(tokens: DataFrame, floor: float = 10.0, line_share: float = 0.40, gap_share: float = 0.45, lone_factor: float = 1.8) -> DataFrame:
     """Words put together from the pieces a reader split them into; ``pos`` is renumbered.
 
-    Pages are cut into bands of rows that touch; lines never cross bands, so each
-    band is merged by itself. Pages without any box join runs of single letters.
+    A line is a run of tokens, by height, whose middles follow each other within
+    ``line_share`` of their mean height (at least ``floor``). In a line, from left to
+    right, a piece joins what stands before it when the gap is at most ``gap_share``
+    of the mean height, more beside a single character. Pages without any box join
+    runs of single letters.
     """
-    tokens = cut(tokens)
-    flat = tokens.groupBy("doc_id").agg(F.bool_or(F.col("box").isNotNull()).alias("_geo"))
-    t = tokens.join(flat, "doc_id")
-    boxed = t.where(F.col("box").isNotNull()).drop("_geo")
-    loose = t.where(F.col("_geo") & F.col("box").isNull()).drop("_geo")
-    plain = t.where(~F.col("_geo")).drop("_geo")
-
-    reach = F.greatest(F.lit(10.0), 0.4 * B.height(F.col("box"))) / 2
-    low = F.floor((B.centre_y(F.col("box")) - reach) / cell)
-    high = F.floor((B.centre_y(F.col("box")) + reach) / cell)
-    cells = boxed.select("doc_id", F.explode(F.sequence(low, high)).alias("c")).distinct()
-    # runs of touching cells: their number is bounded by the page height
-    runs = with_rank(cells, [F.asc("c")], "_k", keys=["doc_id"]).withColumn("_run", F.col("c") - F.col("_k"))
-    runs = runs.select("doc_id", F.col("c").alias("_low"), F.col("_run").alias("band"))
-    banded = boxed.withColumn("_low", low).join(runs, ["doc_id", "_low"])
-    doc_type = tokens.schema["doc_id"].dataType.simpleString()
-    b = F.col("box")
-    pieces = banded.select(
-        "doc_id", "band", "pos", F.col("token_id").cast("long").alias("token_id"), "text", "confidence", "page_w", "page_h",
-        b["x_min"].alias("x1"), b["y_min"].alias("y1"), b["x_max"].alias("x2"), b["y_max"].alias("y2"),
-    )
-    merged = cut(fold_groups(pieces, ["doc_id", "band"], ["y1", "x1", "pos"], _merge_lines, _MERGED.format(doc=doc_type)))
-
-    solo = (F.length(F.trim("text")) == 1) & F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$")
-    p = plain.withColumn("_solo", solo)
-    singles = with_rank(p.where("_solo"), [F.asc("pos")], "_k", keys=["doc_id"])
-    run = F.struct("pos", "token_id", F.trim("text").alias("text"))
-    letters = singles.groupBy("doc_id", (F.col("pos") - F.col("_k")).alias("_run")).agg(
-        F.array_sort(F.collect_list(run)).alias("r"), F.avg("confidence").alias("confidence"),
-        F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
-    letters = letters.select(
-        "doc_id", F.col("r")[0]["pos"].alias("p0"), F.col("r")[0]["token_id"].cast("long").alias("token_id"),
-        F.array_join(F.transform("r", lambda x: x["text"]), "").alias("text"), "confidence", "page_w", "page_h",
-        F.transform("r", lambda x: x["token_id"].cast("long")).alias("merged"))
-    kept = p.where(~F.col("_solo")).unionByName(loose.withColumn("_solo", F.lit(False))).select(
-        "doc_id", F.col("pos").alias("p0"), F.col("token_id").cast("long").alias("token_id"), "text", "confidence", "page_w", "page_h",
-        F.array(F.col("token_id").cast("long")).alias("merged"))
-    unplaced = letters.unionByName(kept).withColumns({"y0": F.lit(float("inf")), "x0": F.lit(0.0), "seq": F.lit(0)}).withColumn(
-        "box", F.lit(None).cast(merged.schema["box"].dataType))
-    both = merged.withColumn("p0", F.col("p0").cast("long")).unionByName(unplaced.withColumn("p0", F.col("p0").cast("long")))
-    order = [F.asc("y0"), F.asc("x0"), F.asc("p0"), F.asc("seq")]
-    return with_rank(both, order, "pos", keys=["doc_id"]).drop("y0", "x0", "p0", "seq")
+    page = Window.partitionBy("doc_id")
+    t = tokens.withColumn("_geo", F.max(F.col("box").isNotNull()).over(page))
+    b, size = F.col("box"), F.greatest(F.lit(1), F.length("text"))
+    by_height = page.orderBy("_mid", b["x_min"], "pos")
+    along = Window.partitionBy("doc_id", "_line").orderBy(b["x_min"], "pos")
+    near = lambda w: (F.lag("_tall").over(w) + F.col("_tall")) / 2
+    starts = lambda c: F.sum(F.when(c, 0).otherwise(1))
+    boxed = t.where(b.isNotNull()).withColumns({"_mid": B.centre_y(b), "_tall": B.height(b)})
+    boxed = boxed.withColumn("_same", F.col("_mid") - F.lag("_mid").over(by_height) <= F.greatest(F.lit(floor), near(by_height) * line_share))
+    boxed = boxed.withColumn("_line", starts(F.col("_same")).over(by_height))
+    single = F.length(F.trim("text")) == 1
+    lone = single | F.lag(single).over(along)
+    gap = b["x_min"] - F.max(b["x_max"]).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    tall = F.greatest(F.lit(1.0), near(along))
+    boxed = boxed.withColumn("_joins", gap.between(-0.5 * tall, tall * gap_share * F.when(lone, lone_factor).otherwise(1.0)))
+    boxed = boxed.withColumn("_word", starts(F.col("_joins")).over(along))
+    piece = F.struct(b["x_min"].alias("x"), "pos", F.col("token_id").cast("long").alias("token_id"), "text")
+    edge = lambda f, side: F.coalesce(f(F.when(B.has_extent(b), b[side])), f(b[side])).alias(side)
+    merged = boxed.groupBy("doc_id", "_line", "_word").agg(
+        F.array_sort(F.collect_list(piece)).alias("r"), F.round(F.sum(F.col("confidence") * size) / F.sum(size), 4).alias("confidence"),
+        F.struct(edge(F.min, "x_min"), edge(F.min, "y_min"), edge(F.max, "x_max"), edge(F.max, "y_max")).alias("box"),
+        F.min(b["y_min"]).alias("_top"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
+    merged = merged.withColumn("_y", F.min("_top").over(Window.partitionBy("doc_id", "_line"))).drop("_top")
+
+    plain = t.where(b.isNull()).withColumn("_solo", ~F.col("_geo") & single & F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$"))
+    plain = numbered(plain, [F.asc("pos")], "_k", ("doc_id", "_solo"))
+    # neighbouring letters share the distance from their place to their rank; other tokens stay alone
+    run = F.when(F.col("_solo"), F.col("pos") - F.col("_k")).otherwise(F.col("pos"))
+    loose = plain.groupBy("doc_id", "_solo", run.alias("_run")).agg(
+        F.array_sort(F.collect_list(F.struct(F.lit(0.0).alias("x"), "pos", F.col("token_id").cast("long").alias("token_id"),
+                                             F.when(F.col("_solo"), F.trim("text")).otherwise(F.col("text")).alias("text")))).alias("r"),
+        F.avg("confidence").alias("confidence"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
+    loose = loose.withColumns({"box": F.lit(None).cast(merged.schema["box"].dataType), "_y": F.lit(float("inf")), "_line": F.lit(0).cast("long")})
+    both = merged.drop("_word").unionByName(loose.drop("_solo", "_run"))
+    out = numbered(both, [F.asc("_y"), F.asc("_line"), F.asc(F.col("r")[0]["x"]), F.asc(F.col("r")[0]["pos"])], "pos")
+    return out.select(
+        "doc_id", "pos", F.col("r")[0]["token_id"].alias("token_id"), F.array_join(F.transform("r", lambda x: x["text"]), "").alias("text"),
+        "box", "confidence", "page_w", "page_h", F.transform("r", lambda x: x["token_id"]).alias("merged"))
 
 
 def anchor_regions(
@@ -214,7 +161,7 @@ def sequential_regions(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
     bare = tokens.groupBy("doc_id").agg(F.bool_or(F.col("box").isNotNull()).alias("g")).where(~F.col("g")).select("doc_id")
     counts = anchors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     free = tokens.join(bare, "doc_id", "left_semi").join(anchors.select("doc_id", "token_id"), ["doc_id", "token_id"], "left_anti")
-    free = with_rank(free, [F.asc("pos")], "_k", keys=["doc_id"])
+    free = numbered(free, [F.asc("pos")], "_k")
     sizes = free.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_m")).join(counts, "doc_id")
     run = F.greatest(F.lit(1), F.floor(F.col("_m") / F.col("_n")))
     return (
@@ -224,10 +171,11 @@ def sequential_regions(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def leftover_region(tokens: DataFrame, anchors: DataFrame, assigned: DataFrame, first: int = 15) -> DataFrame:
-    """The first tokens of each page that no anchor took, as one region without anchor."""
+def leftover_region(tokens: DataFrame, anchors: DataFrame, assigned: DataFrame, first: int | None = None) -> DataFrame:
+    """The tokens of each page that no anchor took, the ``first`` ones if asked, as one region without anchor."""
     left = unassigned_tokens(tokens, anchors, assigned).drop("reason")
-    return top_by(left, ["doc_id"], [F.asc("pos")], first).withColumn("region", F.lit("regiao_sem_ancora_1"))
+    left = left if first is None else top_by(left, ["doc_id"], [F.asc("pos")], first)
+    return left.withColumn("region", F.lit("regiao_sem_ancora_1"))
 
 
 def regions(assigned: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -240,7 +188,7 @@ def regions(assigned: DataFrame, anchors: DataFrame) -> DataFrame:
     r = sizes.join(extent, ["doc_id", "anchor_no"]).join(own, ["doc_id", "anchor_no"])
     row = F.coalesce((B.centre_y(F.col("b")) / (0.15 * F.when(F.col("_ph") <= 0, 1.0).otherwise(F.col("_ph")))).cast("int"), F.lit(0))
     r = r.withColumn("_row", row).withColumn("_x", F.coalesce(B.centre_x(F.col("b")), F.lit(0.0)))
-    r = with_rank(r, [F.asc("_row"), F.asc("_x"), F.asc("anchor_no")], "region_no", keys=["doc_id"])
+    r = numbered(r, [F.asc("_row"), F.asc("_x"), F.asc("anchor_no")], "region_no")
     return r.select(
         "doc_id", "region_no", "anchor_no", F.concat(F.lit("regiao_ancora_"), F.col("anchor_no").cast("string")).alias("region"),
         "region_box", "token_count", "text_confidence")

@@ -66,7 +66,7 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
 def fragment_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose words were read letter by letter in places."""
     t = I.grid_tokens(spark, sf)
-    t = t.where(F.col("pos") % 12 < 6).withColumn("box", B.box(
+    t = t.withColumn("box", B.box(
         F.when(F.length("text") <= 2, F.col("box.x_min") - 40).otherwise(F.col("box.x_min")), F.col("box.y_min"), F.col("box.x_max"), F.col("box.y_max")))
     return S.merge_fragments(t).select("doc_id", "pos", "token_id", "text", F.size("merged").alias("parts"))
 
@@ -94,7 +94,7 @@ def unassigned_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def leftover_region(spark: SparkSession, sf: str) -> DataFrame:
     t, anchors, assigned = _grid_regions(spark, sf)
-    return S.leftover_region(t, anchors, assigned).select("doc_id", "token_id", "region")
+    return S.leftover_region(t, anchors, assigned, first=15).select("doc_id", "token_id", "region")
 
 
 def region_boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,6 +321,27 @@ CPF_RE = r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b"
 DATE_RE = r"\b(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})\b"
 MEAS_RE = r"(?i)(\b\d+(?:[.,]\d+)?\s*(?:kg|g|mg|ml|l|litros?|sach[eê]s?|c[aá]psulas?|unidades?|un|cm|mm|m)\b|\b\d+x\d+(?:[.,]\d+)?\s*(?:g|ml|cm|mm)?\b)"
 TXT = "CAST(NULL AS VARCHAR)"
+FRAGMENTS_SQL = f"""
+WITH {I.GRID_SQL},
+f0 AS (SELECT doc_id, pos, pos AS token_id, text, confidence, CASE WHEN length(text) <= 2 THEN x1 - 40 ELSE x1 END AS a, x2, y1, y2 FROM grid),
+f1 AS (SELECT *, (y1 + y2) / 2 AS mid, greatest(0, y2 - y1) AS tall FROM f0),
+f2 AS (SELECT *, coalesce(mid - lag(mid) OVER h <= greatest(10, (lag(tall) OVER h + tall) / 2 * 0.4), false) AS same FROM f1 WINDOW h AS (PARTITION BY doc_id ORDER BY mid, a, pos)),
+f3 AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY mid, a, pos) AS line FROM f2),
+f4 AS (SELECT *, a - max(x2) OVER (PARTITION BY doc_id, line ORDER BY a, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap,
+    greatest(1, (lag(tall) OVER l + tall) / 2) AS th, length(text) = 1 OR lag(length(text) = 1) OVER l AS lone FROM f3 WINDOW l AS (PARTITION BY doc_id, line ORDER BY a, pos)),
+f5 AS (SELECT *, sum(CASE WHEN gap BETWEEN -0.5 * th AND th * 0.45 * CASE WHEN lone THEN 1.8 ELSE 1 END THEN 0 ELSE 1 END)
+    OVER (PARTITION BY doc_id, line ORDER BY a, pos) AS word FROM f4),
+f6 AS (SELECT doc_id, line, word, min(y1) AS top, arg_min(token_id, a * 1e6 + pos) AS token_id, string_agg(text, '' ORDER BY a, pos) AS text, count(*) AS parts, min(a) AS x FROM f5 GROUP BY doc_id, line, word)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min_top, line, x, token_id) AS pos, token_id, text, parts
+FROM (SELECT *, min(top) OVER (PARTITION BY doc_id, line) AS min_top FROM f6)
+"""
+LETTERS_SQL = f"""
+WITH {I.DOC_TOKENS_SQL},
+l0 AS (SELECT doc_id, pos, text, regexp_matches(text, '^[\\p{{L}}\\p{{N}}]$') AS solo FROM doc_tokens),
+l1 AS (SELECT *, CASE WHEN solo THEN pos - row_number() OVER (PARTITION BY doc_id, solo ORDER BY pos) ELSE pos END AS run FROM l0),
+l2 AS (SELECT doc_id, solo, run, min(pos) AS token_id, string_agg(text, '' ORDER BY pos) AS text, count(*) AS parts FROM l1 GROUP BY doc_id, solo, run)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS pos, token_id, text, parts FROM l2
+"""
 ITEMS_SQL = """
 base AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey % 100000 AS pos, p_name AS name, lower(p_type) AS kind, round(CAST(l_extendedprice / l_quantity AS DECIMAL(28,8)), 2)::DOUBLE AS price,
   p_size || ' un' AS unit, l_discount, l_tax, l_returnflag FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -354,6 +375,8 @@ SELECT doc_id, count(*) AS tokens, CAST(sum(pos) AS BIGINT) AS place_sum FROM c
 SELECT doc_id, pos AS token_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, cx, pos) AS reading_pos FROM c""",
     "token_regions": NEAR_SQL + f" SELECT doc_id, token_id, anchor_no, {R('distance', 4)} AS distance FROM near",
     "unassigned_tokens": NEAR_SQL + f" SELECT doc_id, 'distancia_excessiva' AS reason, count(*) AS tokens FROM {FREE} GROUP BY doc_id",
+    "fragment_merge": FRAGMENTS_SQL,
+    "letter_runs": LETTERS_SQL,
     "leftover_region": NEAR_SQL + f" SELECT doc_id, token_id, 'regiao_sem_ancora_1' AS region FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS rn FROM {FREE}) WHERE rn <= 15",
     "sequential_regions": f"""WITH {I.RECORDS_SQL}, t AS (SELECT *, regexp_matches(text, '^\\d+,\\d+$|%$') AS is_anchor FROM records),
 n AS (SELECT doc_id, count(*) FILTER (is_anchor) AS n, count(*) FILTER (NOT is_anchor) AS m FROM t GROUP BY 1), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM t WHERE NOT is_anchor)

@@ -92,6 +92,11 @@ def with_rank(df: DataFrame, order: list[Column], name: str, keys: list[str] | N
     return out.join(first, keys).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Number rows from 1 within a page; a page is a bounded key, so one shuffle by page serves all steps on it."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """First ``k`` rows of every key; Spark limits each key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
