@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -25,16 +26,16 @@ NETWORK_SUFFIX = r"(?i)\s+[|•-]\s+(Instagram|Facebook|YouTube|Google Notícias
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Compatibility folding as data for ``translate`` and ``replace``.
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Compatibility folding as data: characters for ``translate``, and those that become several.
 
     Every code point whose NFKD form, less combining marks, is one other
-    character is mapped; combining marks are deleted; the few Latin and symbol
-    ligatures that expand to several characters are replaced one by one.
+    character is mapped, and combining marks are deleted. Hangul syllables follow
+    a rule and are left out.
     """
-    source, target, removed, expand = [], [], [], []
+    source, target, removed, several = [], [], [], {}
     for cp in range(0xA0, sys.maxunicode + 1):
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or cp > 0xFFFF:
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
         if unicodedata.combining(ch):
@@ -45,22 +46,53 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
             continue
         plain = "".join(c for c in full if not unicodedata.combining(c))
         if len(plain) == 1:
-            if cp < 0x2E80 or cp >= 0xFF00:
-                source.append(ch)
-                target.append(plain)
-        elif plain and (cp in (0x2026, 0x2122) or 0xFB00 <= cp <= 0xFB06 or 0xBC <= cp <= 0xBE):
-            expand.append((ch, plain))
-    return "".join(source + removed), "".join(target), tuple(expand)
+            source.append(ch)
+            target.append(plain)
+        elif plain:
+            several[ch] = plain
+        else:
+            removed.append(ch)
+    return "".join(source + removed), "".join(target), several
+
+
+@lru_cache(maxsize=1)
+def _several_class() -> str:
+    """The characters that become several, as ranges of a Java character class."""
+    points = sorted([ord(c) for c in _fold_tables()[2]])
+    spans: list[list[int]] = [[0xAC00, 0xD7A3]]
+    for cp in points:
+        if len(spans) > 1 and cp == spans[-1][1] + 1:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in spans) + "]"
+
+
+def code_points(*codes: Column) -> Column:
+    """The text of the given code points; a null one is left out."""
+    return F.decode(F.unhex(F.concat(*[F.coalesce(F.lpad(F.hex(c.cast("long")), 8, "0"), F.lit("")) for c in codes])), "UTF-32")
+
+
+def replace_each(c: Column, pattern: str, replacement) -> Column:
+    """``c`` with every distinct match of ``pattern`` replaced by ``replacement`` of it, longer matches first; null replaces nothing."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({pattern})")))
+    found = F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
+    swapped = F.aggregate(found, c, lambda acc, m: F.coalesce(F.replace(acc, m["m"], replacement(m["m"])), acc))
+    return F.when(c.rlike(pattern), swapped).otherwise(c)
+
+
+def _spelled(ch: Column) -> Column:
+    """What a character that becomes several stands for."""
+    listed = F.try_element_at(F.from_json(F.lit(json.dumps(_fold_tables()[2])), "map<string,string>"), ch)
+    s = F.ascii(ch) - 0xAC00  # Hangul: lead, vowel and tail follow from the place in the table
+    tail = F.when(s % 28 > 0, 0x11A7 + s % 28)
+    return F.coalesce(listed, F.when(s.between(0, 11171), code_points(0x1100 + F.floor(s / 588), 0x1161 + F.floor(s % 588 / 28), tail)))
 
 
 def fold(c: Column) -> Column:
     """Compatibility-fold and strip combining marks, keeping case and spaces."""
-    matching, replacement, expand = _fold_tables()
-    spelled = c
-    for ch, plain in expand:
-        spelled = F.replace(spelled, F.lit(ch), F.lit(plain))
-    some = c.rlike("[" + "".join(ch for ch, _ in expand) + "]")
-    return F.translate(F.when(some, spelled).otherwise(c), matching, replacement)
+    matching, replacement, _ = _fold_tables()
+    return F.translate(replace_each(c, _several_class(), _spelled), matching, replacement)
 
 
 def let(value: Column, body) -> Column:

@@ -220,8 +220,8 @@ def enrich(
     sources: DataFrame,
     pages: DataFrame,
     profile: RadarProfile,
-    top: int | None = 16,
-    keep: int | None = 80,
+    top: int | None = None,
+    keep: int | None = None,
 ) -> DataFrame:
     """Sources with the text of their landed pages, judged anew and renumbered.
 

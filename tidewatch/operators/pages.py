@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from html import entities, unescape
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls as U
@@ -78,12 +82,29 @@ def is_candidate(url: Column, rules: PageRules = RULES) -> Column:
     return ~is_blocked(url, rules) & (url_signal(url, rules) >= rules.candidate_score)
 
 
+@lru_cache(maxsize=1)
+def _entities() -> str:
+    """Every named reference, with and without its semicolon where the standard allows, and the numbers it reads as Windows-1252."""
+    table = dict(entities.html5) | {f"#{i};": unescape(f"&#{i};") for i in range(128, 160)}
+    return json.dumps(table)
+
+
+def _character(reference: Column) -> Column:
+    """What a character reference stands for; null if it stands for nothing."""
+    body = F.substring(reference, 2, 64)
+    named = F.try_element_at(F.from_json(F.lit(_entities()), "map<string,string>"), body)
+    wide = F.regexp_extract(body, r"^#[xX]([0-9a-fA-F]{1,6});?$", 1)
+    code = F.coalesce(F.regexp_extract(body, r"^#([0-9]{1,7});?$", 1).try_cast("long"), F.conv(F.nullif(wide, F.lit("")), 16, 10).try_cast("long"))
+    scalar = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.coalesce(named, F.when(scalar, T.code_points(code)))
+
+
 def decode_entities(c: Column) -> Column:
-    """The character entities of markup that matter for text and URLs, ampersand last."""
-    for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(ch))
-    return c
+    """Character references decoded, all named ones and numbers; those for an ampersand last, so that nothing is decoded twice."""
+    reference = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+    ampersand = r"&(?:amp;?|AMP;?|#0*38;?|#[xX]0*26;?)"
+    rest = T.replace_each(c, reference, lambda m: F.when(~m.rlike(f"^{ampersand}$"), _character(m)))
+    return F.regexp_replace(rest, ampersand, "&")
 
 
 def strip_tags(html: Column, gap: str = " ") -> Column:
@@ -142,11 +163,12 @@ def absolute_url(base: Column, href: Column) -> Column:
     folder = F.regexp_extract(base_path, r"^(.*/)[^/]*$", 1)
     folder = F.when(folder == "", "/").otherwise(folder)
     joined = F.concat(folder, href)
-    # dot segments
-    joined = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/(?!\.\./)[^/]+/\.\./", "/")
-    joined = F.regexp_replace(joined, r"^(?:/\.\.)+/", "/")
+    rest = F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1)
+    steps = F.split(F.regexp_extract(joined, r"^[^?#]*", 0), "/")
+    walk = F.aggregate(steps, F.array().cast("array<string>"), lambda at, s: F.when(
+        s == "..", F.when(F.size(at) > 1, F.slice(at, 1, F.size(at) - 1)).otherwise(at)).when(s == ".", at).otherwise(F.concat(at, F.array(s))))
+    ends_in_folder = F.element_at(steps, -1).isin(".", "..")
+    joined = F.concat(F.array_join(F.when(ends_in_folder, F.concat(walk, F.array(F.lit("")))).otherwise(walk), "/"), rest)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
@@ -156,7 +178,7 @@ def absolute_url(base: Column, href: Column) -> Column:
     )
 
 
-def commercial_links(pages: DataFrame, limit: int | None = 20, rules: PageRules = RULES) -> DataFrame:
+def commercial_links(pages: DataFrame, limit: int | None = None, rules: PageRules = RULES) -> DataFrame:
     """Outlinks of each page (page_id, url, html) that lead to something for sale.
 
     Same-host links need a positive signal, others ``external_link_score``.
@@ -198,8 +220,8 @@ def sitemap_links(pages: DataFrame, rules: PageRules = RULES) -> DataFrame:
     return s.where(own & is_candidate(F.col("link"), rules))
 
 
-def expand_domains(seeds: DataFrame, pages: DataFrame, per_seed: int | None = 4,
-                   link_limit: int | None = 20, rules: PageRules = RULES) -> DataFrame:
+def expand_domains(seeds: DataFrame, pages: DataFrame, per_seed: int | None = None,
+                   link_limit: int | None = None, rules: PageRules = RULES) -> DataFrame:
     """Price sources found on the landed pages of each seed's domain.
 
     ``seeds`` holds name, role, url, location_note; ``pages`` page_id, url, html.
@@ -238,7 +260,7 @@ def discover_price_sources(
     pages: DataFrame,
     company: str,
     market: str = "mercado",
-    per_entity: int | None = 4,
+    per_entity: int | None = None,
     rules: PageRules = RULES,
 ) -> DataFrame:
     """Where each company may be selling: found in its raw hits and its sources.

@@ -25,7 +25,7 @@ def price_changes(
     current: DataFrame,
     previous: DataFrame,
     min_change_pct: float = 0.5,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Products whose price moved by ``min_change_pct`` or whose promotion flipped.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.markup import MONEY, price_contexts
-from ..plans.lineage import first_by, once
+from ..plans.lineage import cut, first_by, once
 from ..rules import NOT_A_PRICE_WORDS, TEXT_PRICE_WORDS, PageRules
 from .pages import COMMERCIAL_TYPES, page_title, strip_tags, typed_pages
 
@@ -17,6 +17,8 @@ PRICE_KEYS = ("price", "lowPrice", "salePrice", "sellingPrice", "bestPrice", "cu
 OLD_PRICE_KEYS = ("oldPrice", "listPrice", "compareAtPrice", "originalPrice")
 NAME_KEYS = ("name", "productName", "title")
 UNIT_KEYS = ("unit", "size", "quantity")
+# Fixed value: characters below which a script holds no object.
+SHORTEST_SCRIPT = 20
 CODE_KEYS = ("sku", "productId", "gtin", "gtin13", "mpn")
 
 ITEM_COLUMNS = [
@@ -87,30 +89,30 @@ def schema_types(v: Column) -> Column:
     return F.transform(F.coalesce(of("@type"), of("type"), F.array().cast("array<string>")), T.normalise)
 
 
-def linked_objects(pages: DataFrame, depth: int = 6) -> DataFrame:
-    """Every JSON object in the pages' linked-data scripts, down to ``depth`` levels below the root.
+def linked_objects(pages: DataFrame) -> DataFrame:
+    """Every JSON object in the pages' linked-data scripts, however deep.
 
-    ``visit`` orders the objects of a page as a walk does that takes the last child first.
+    ``visit`` orders the objects of a page as a walk does that takes the last child
+    first. Each level is written and starts from the one above; the walk ends with a
+    level that holds nothing.
     """
     scripts = F.regexp_extract_all("html", F.lit(
         r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"))
-    level = (
+    raw = (
         pages.where(F.contains("html", F.lit("ld+json")))
         .select("page_id", F.posexplode(scripts).alias("_script", "_raw"))
-        .where(F.length("_raw") >= 20)
+        .where(F.length("_raw") >= SHORTEST_SCRIPT)
         .select("page_id", F.array(F.col("_script")).alias("visit"), F.try_parse_json("_raw").alias("obj"))
-        .where(F.col("obj").isNotNull())
     )
-    levels = [level]
-    for _ in range(depth):
-        nested = F.schema_of_variant("obj").rlike("^(OBJECT|ARRAY)<")
-        level = (
-            level.where(nested)
-            .lateralJoin(level.sparkSession.tvf.variant_explode(F.col("obj").outer()))
+    level, levels = cut(raw.where(F.col("obj").isNotNull())), []
+    while not level.isEmpty():
+        levels.append(level)
+        below = level.where(F.schema_of_variant("obj").rlike("^(OBJECT|ARRAY)<"))
+        level = cut(
+            below.lateralJoin(below.sparkSession.tvf.variant_explode(F.col("obj").outer()))
             .select("page_id", F.concat("visit", F.array(-F.col("pos"))).alias("visit"), F.col("value").alias("obj"))
         )
-        levels.append(level)
-    every = reduce(DataFrame.unionByName, levels)
+    every = reduce(DataFrame.unionByName, levels or [level])
     return every.where(F.schema_of_variant("obj").startswith("OBJECT<"))
 
 
@@ -122,7 +124,7 @@ def inline_objects(pages: DataFrame) -> DataFrame:
         .select("page_id", F.posexplode(scripts).alias("_script", "_tag"))
         .where(~F.col("_tag").rlike(r"(?is)^<script\b[^>]*type\s*=\s*[\"']application/ld\+json"))
         .withColumn("_raw", F.regexp_replace("_tag", r"(?is)^<script\b[^>]*>|</script>$", ""))
-        .where(F.length("_raw") >= 20)
+        .where(F.length("_raw") >= SHORTEST_SCRIPT)
     )
     found = s.select("page_id", "_script", F.posexplode(F.regexp_extract_all("_raw", F.lit(INLINE_PRODUCT))).alias("_at", "_json"))
     return found.select(
@@ -200,7 +202,7 @@ def text_items(pages: DataFrame) -> DataFrame:
 
 def page_products(pages: DataFrame, rules: PageRules = PageRules()) -> DataFrame:
     """Product items of landed pages (page_id, source, role, url, html, location_note), first of each key per page."""
-    typed = with_page_type(pages, rules)
+    typed = cut(with_page_type(pages, rules))
     objects = object_items(linked_objects(typed), typed, rules).withColumn("_stage", F.lit(0))
     inline = object_items(inline_objects(typed), typed, rules).withColumn("_stage", F.lit(1))
     texts = text_items(typed).withColumn("_stage", F.lit(2))

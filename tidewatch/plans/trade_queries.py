@@ -27,7 +27,7 @@ def price_change(spark: SparkSession, sf: str) -> DataFrame:
 def price_change_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The last full year against the one before, first 100 keys."""
     s = I.snapshots(spark, sf).withColumns({"product_name": F.col("product_key"), "url": F.lit("")})
-    return C.price_changes(s.where("run = 1998"), s.where("run = 1997")).select(
+    return C.price_changes(s.where("run = 1998"), s.where("run = 1997"), limit=100).select(
         "entity", "product_key", "previous_price", "current_price", T.round_half_up(F.col("change_pct"), 2).alias("change_pct"), "promotion_now")
 
 
