@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as T
 from ..plans.lineage import once
 
-# Names up to this many are broadcast; more go through a join on letter triples.
-BROADCAST_NAMES = 10_000
-
 
 def cited(items: DataFrame, key: str) -> DataFrame:
     """Items with an ``evidence_ids`` array of texts or numbers, one row per numeric id."""
@@ -48,24 +45,31 @@ def cap_confidence(items: DataFrame, sources: DataFrame, key: str = "signal_id")
 
 
 def mentioned(names: DataFrame, sources: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
-    """Distinct ``name`` values whose normalised form occurs in some source text."""
+    """Distinct ``name`` values whose normalised form occurs in some source text.
+
+    Texts and names meet on words: a name of three words or more holds its inner
+    words whole, so its longest inner word must be a word of the text. A shorter
+    name may begin and end inside words; those that hold its longest word are
+    looked up, by their letter triples, among the distinct words of all texts.
+    Texts travel as hashes until a word has matched.
+    """
     n = names.select(F.trim(name).alias("name")).where(F.col("name") != "").distinct()
     n = once(n, {"_n": T.normalise(F.col("name"))})
+    words = F.split("_n", " ")
+    inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    n = n.select("name", "_n", longest(inner).alias("_whole"), longest(words).alias("_part"))
     t = once(sources.select(text), {"_t": T.normalise(F.col(text))}).select("_t")
-    if n.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
-        hit = t.join(F.broadcast(n), F.contains("_t", F.col("_n")))
-        return hit.select("name").distinct()
-    gram = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3)))
-    short = n.where(F.length("_n") < 3)
-    by_gram = t.select("_t", F.explode(F.array_distinct(gram(F.col("_t")))).alias("g"))
-    long_hits = by_gram.join(n.where(F.length("_n") >= 3).withColumn("g", F.substring("_n", 1, 3)), "g").where(
-        F.contains("_t", F.col("_n")))
-    # one- and two-letter names: at most as many as there are letter pairs
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t")))
-    cuts = [F.transform(at, lambda i, k=k: F.substring(F.col("_t"), i, F.lit(k))) for k in (1, 2)]
-    pieces = t.select(F.explode(F.array_distinct(F.concat(*cuts))).alias("_n"))
-    short_hits = short.join(pieces, "_n", "left_semi")
-    return long_hits.select("name").union(short_hits.select("name")).distinct()
+    t = once(t, {"_id": F.xxhash64("_t", F.length("_t"))})
+    held = t.select("_id", F.explode(F.array_distinct(F.split("_t", " "))).alias("_word"))
+    at = F.sequence(F.lit(1), F.length("_word"))
+    grams = F.concat(*[F.transform(at, lambda i, k=k: F.substring(F.col("_word"), i, F.lit(k))) for k in (1, 2, 3)])
+    vocabulary = held.select("_word").where("_word <> ''").distinct().select("_word", F.explode(F.array_distinct(grams)).alias("_gram"))
+    part = n.where(F.col("_whole").isNull()).withColumn("_gram", F.substring("_part", 1, 3))
+    inside = vocabulary.join(part, "_gram").where(F.contains("_word", F.col("_part"))).select("name", "_n", "_word")
+    keys = n.where(F.col("_whole").isNotNull()).select("name", "_n", F.col("_whole").alias("_word")).unionByName(inside)
+    near = held.join(keys, "_word").select("_id", "name", "_n").distinct()
+    return t.join(near, "_id").where(F.contains("_t", F.col("_n"))).select("name").distinct()
 
 
 def validate_competitors(notes: DataFrame, sources: DataFrame, key: str = "note_id") -> DataFrame:

@@ -375,6 +375,13 @@ SELECT doc_id, count(*) AS tokens, CAST(sum(pos) AS BIGINT) AS place_sum FROM c
 SELECT doc_id, pos AS token_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, cx, pos) AS reading_pos FROM c""",
     "token_regions": NEAR_SQL + f" SELECT doc_id, token_id, anchor_no, {R('distance', 4)} AS distance FROM near",
     "unassigned_tokens": NEAR_SQL + f" SELECT doc_id, 'distancia_excessiva' AS reason, count(*) AS tokens FROM {FREE} GROUP BY doc_id",
+    "region_boxes": NEAR_SQL + f""", own AS (SELECT g.doc_id, g.pos AS anchor_no, x1, y1, x2, y2, cx, cy, page_h FROM g WHERE length(text) >= 12),
+b AS (SELECT doc_id, anchor_no, x1, y1, x2, y2 FROM own UNION ALL SELECT n.doc_id, n.anchor_no, x1, y1, x2, y2 FROM near n JOIN g ON g.doc_id = n.doc_id AND g.pos = n.token_id),
+e AS (SELECT doc_id, anchor_no, min(x1) AS x_min, min(y1) AS y_min, max(x2) AS x_max, max(y2) AS y_max FROM b GROUP BY 1, 2), c AS (SELECT doc_id, anchor_no, count(*) AS token_count FROM near GROUP BY 1, 2)
+SELECT doc_id, anchor_no, token_count, x_min, y_min, x_max, y_max, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(floor(cy / (0.15 * page_h)) AS INTEGER), cx, anchor_no) AS region_no
+FROM c JOIN e USING (doc_id, anchor_no) JOIN own USING (doc_id, anchor_no)""",
+    "repeated_items": f"""WITH {ITEMS_SQL}, m AS (SELECT doc_id, CASE WHEN l_discount >= 0.09 THEN kind WHEN l_discount >= 0.07 THEN kind || ' ' || name ELSE name END AS name, CASE WHEN l_tax = 0.01 THEN price + 1 ELSE price END AS price FROM news),
+r AS (SELECT doc_id, {I.norm_sql('name')} AS n, price, count(*) - 1 AS extra FROM m GROUP BY 1, 2, 3) SELECT doc_id, CAST(sum(extra) AS BIGINT) AS duplicate FROM r GROUP BY 1""",
     "fragment_merge": FRAGMENTS_SQL,
     "letter_runs": LETTERS_SQL,
     "leftover_region": NEAR_SQL + f" SELECT doc_id, token_id, 'regiao_sem_ancora_1' AS region FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS rn FROM {FREE}) WHERE rn <= 15",

@@ -95,6 +95,13 @@ def event_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _candidates(spark, sf).select("source_id", "kind", "importance", "confidence", "date", "is_current", "contextual", "entity", "scope")
 
 
+def event_candidates_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a condition on the page before it may tell of prices."""
+    gate = lambda url, title, body: F.contains(url, F.lit("/en/"))
+    c = E.event_candidates(_sources(spark, sf), I.AS_OF, price_gate=gate, words=I.EVENT_WORDS)
+    return c.select("source_id", "kind", "importance", "confidence", "date", "entity")
+
+
 def event_key(spark: SparkSession, sf: str) -> DataFrame:
     return _candidates(spark, sf).select("source_id", "event_key", "title")
 
@@ -211,7 +218,7 @@ def mention_check(spark: SparkSession, sf: str) -> DataFrame:
 def competitor_notes(spark: SparkSession, sf: str) -> DataFrame:
     b = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("note_id"), F.substring_index("text", " ", 4).alias("name"),
                                                 F.array(F.col("item_id"), F.col("item_id") + 300).alias("evidence_ids"))
-    docs = I.table(spark, sf, "documents").where(F.col("lang") == "en").select(F.col("doc_id").alias("id"), "text")
+    docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return G.validate_competitors(b, docs).select("note_id", "name", F.array_join(F.transform("evidence_ids", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
@@ -221,11 +228,12 @@ def evidence_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clean_sources, scope_filter, topic_tags, source_score, dedup_sources, source_quality, source_ranking, enriched_sources, channel_union,
-    source_delta, source_delta_counts, event_candidates, event_key, event_clusters, event_evidence, top_events, same_fact_pairs, dimension_scores,
+    source_delta, source_delta_counts, event_candidates, event_candidates_gated, event_key, event_clusters, event_evidence, top_events, same_fact_pairs, dimension_scores,
     activity_index, external_pressure, company_vulnerability, momentum, signals, gap_statements, run_metrics, evidence_check, confidence_cap,
     citations, package_verdict, mention_check, competitor_notes, evidence_pack)}
 
 R = lambda x, n: f"round(CAST({x} AS DECIMAL(28,8)), {n})::DOUBLE"
+TRUNC = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE regexp_replace(substr({x}, 1, {n - 3}), ' [^ ]*$', '') || '...' END"
 CLAMP = lambda x: f"CAST(greatest(0, least(100, round_even({x}, 0))) AS INTEGER)"
 RECENCY = lambda d: f"CASE WHEN {d} IS NULL THEN 0.35 ELSE CASE WHEN greatest(0, DATE '{I.AS_OF}' - {d}) <= 7 THEN 1.0 WHEN DATE '{I.AS_OF}' - {d} <= 30 THEN 0.88 WHEN DATE '{I.AS_OF}' - {d} <= 90 THEN 0.72 WHEN DATE '{I.AS_OF}' - {d} <= 180 THEN 0.52 ELSE 0.30 END END::DOUBLE"
 
@@ -234,8 +242,8 @@ QUALITY_SQL = """least(1.0::DOUBLE, 0.30::DOUBLE + 0.15::DOUBLE
     + CASE WHEN scope = 'local' THEN 0.08 ELSE 0 END::DOUBLE)"""
 
 
-def _candidates_sql() -> str:
-    words = " ".join(f"WHEN {any_sql('n', ws)} THEN '{k}'" for k, ws in I.EVENT_WORDS.items())
+def _candidates_sql(price_gate: str = "true") -> str:
+    words = " ".join(f"WHEN {any_sql('n', ws)}{f' AND {price_gate}' if k == 'PREÇO' else ''} THEN '{k}'" for k, ws in I.EVENT_WORDS.items())
     from ..rules import EVENT_BASE
     base = " ".join(f"WHEN '{k}' THEN {b}.0::DOUBLE" for k, b in EVENT_BASE.items())
     trunc = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE regexp_replace(substr({x}, 1, {n - 3}), ' [^ ]*$', '') || '...' END"
@@ -287,6 +295,10 @@ SELECT fingerprint, 'new' AS delta FROM d WHERE lang = 'es'
 UNION ALL SELECT fingerprint, 'changed' FROM d WHERE lang <> 'es' AND sha1(text) <> sha1(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) ELSE text END)""",
     "source_delta_counts": """SELECT count(*) FILTER (lang = 'es') AS new_sources, count(*) FILTER (lang <> 'es' AND length(text) > 2000) AS changed_sources FROM documents""",
     "event_candidates": f"WITH {_candidates_sql()} SELECT source_id, kind, importance, confidence, date, is_current, contextual, entity, scope FROM cand",
+    "event_candidates_gated": f"""WITH {_candidates_sql("contains(url, '/en/')")} SELECT source_id, kind, importance, confidence, date, entity FROM cand""",
+    "evidence_pack": f"""WITH {SOURCES_SQL}, e AS (SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t, url, published AS date, is_current, scope, score, confidence,
+  trim(regexp_replace(coalesce(nullif(snippet, ''), body), '\\s+', ' ', 'g')) AS x FROM sources ORDER BY score DESC, id LIMIT 36)
+SELECT id, {TRUNC('t', 180)} AS title, url, date, is_current, scope, {R('score', 1)} AS score, {R('confidence', 2)} AS confidence, length({TRUNC('x', 650)}) AS excerpt_length FROM e""",
     "event_key": f"""WITH {_candidates_sql()}
 SELECT source_id, title, substr(sha1({norm_sql('entity')} || '|' || kind || '|' || CASE WHEN city_ok THEN 'local' ELSE scope END || '|' ||
   array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(nt, '[a-z0-9]{{3,}}'), lambda x: NOT list_contains({STOP}, x))))[1:24], ' ') || '|' ||
@@ -339,7 +351,7 @@ SELECT signal_id, {R('least(c, best)', 6)} AS confidence, n AS evidence FROM own
     "mention_check": f"""WITH n AS (SELECT DISTINCT trim(array_to_string(string_split(text, ' ')[1:4], ' ')) AS name FROM benchmark),
 t AS (SELECT {norm_sql('text')} AS t FROM documents) SELECT name FROM n WHERE name <> '' AND EXISTS (SELECT 1 FROM t WHERE contains(t.t, {norm_sql('name')}))""",
     "competitor_notes": f"""WITH n AS (SELECT item_id AS note_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS name, {norm_sql("array_to_string(string_split(text, ' ')[1:4], ' ')")} AS nn FROM benchmark),
-s AS (SELECT doc_id AS id, {norm_sql('text')} AS t FROM documents WHERE lang = 'en'), c AS (SELECT note_id, unnest([note_id, note_id + 300]) AS id FROM n),
+s AS (SELECT doc_id AS id, {norm_sql('text')} AS t FROM documents), c AS (SELECT note_id, unnest([note_id, note_id + 300]) AS id FROM n),
 p AS (SELECT note_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS evidence FROM c WHERE id IN (SELECT id FROM s) GROUP BY 1)
 SELECT note_id, name, evidence FROM n JOIN p USING (note_id) WHERE trim(name) <> '' AND EXISTS (SELECT 1 FROM s WHERE contains(s.t, n.nn))""",
 }

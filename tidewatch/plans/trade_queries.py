@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T, urls as U
 from ..operators import matching as M, pages as P, prices as C, products as D
 from ..functions.similarity import jaccard
+from ..sources import exports
 from . import inputs as I
 from .inputs import any_sql, norm_sql
 
@@ -31,6 +32,20 @@ def price_change_latest(spark: SparkSession, sf: str) -> DataFrame:
         "entity", "product_key", "previous_price", "current_price", T.round_half_up(F.col("change_pct"), 2).alias("change_pct"), "promotion_now")
 
 
+def price_change_repeat(spark: SparkSession, sf: str) -> DataFrame:
+    """The price changes reckoned twice: how many rows, and how many of them differ in either direction."""
+    first, second = price_change(spark, sf), price_change(spark, sf)
+    tag = lambda df, n: df.select(F.lit(n).alias("what"))
+    rows = tag(first, "rows").unionByName(tag(first.exceptAll(second), "differs")).unionByName(tag(second.exceptAll(first), "differs"))
+    return rows.agg(F.count_if(F.col("what") == "rows").alias("rows"), F.count_if(F.col("what") == "differs").alias("differing"))
+
+
+def report_price_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's table of price changes: the first twelve of the last year."""
+    last = price_change(spark, sf).where("run = 1998")
+    return exports.report_tables(price_changes=last)["price_changes"].select("entity", "product_key", "previous_price", "current_price", "change_pct")
+
+
 def latest_run(spark: SparkSession, sf: str) -> DataFrame:
     o = I.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("created_at"))
     return C.latest_run(o)
@@ -169,7 +184,7 @@ def comparison_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    price_change, price_snapshot, price_change_latest, latest_run, last_snapshot, page_index, url_dates, page_types, page_text, url_signals,
+    price_change, price_snapshot, price_change_latest, price_change_repeat, report_price_changes, latest_run, last_snapshot, page_index, url_dates, page_types, page_text, url_signals,
     commercial_links, sitemap_links, price_sources, merged_price_sources, page_products, page_products_raw, product_overlap, product_match, match_summary,
     price_comparison, price_war, price_gaps, comparison_summary)}
 
@@ -213,6 +228,13 @@ ORACLES = {
   (a.price - b.price) / b.price * 100 AS pct, b.promotion AS promotion_before, a.promotion AS promotion_now
   FROM snapshots a JOIN snapshots b ON a.entity = b.entity AND a.product_key = b.product_key AND a.run = b.run + 1 WHERE b.price <> 0)
 SELECT * EXCLUDE (pct), {R('pct', 2)} AS change_pct FROM c WHERE abs(pct) >= 0.5 OR promotion_before <> promotion_now""",
+    "price_change_repeat": f"""WITH {I.SNAPSHOTS_SQL}, c AS (SELECT (a.price - b.price) / b.price * 100 AS pct, b.promotion AS before, a.promotion AS now
+  FROM snapshots a JOIN snapshots b ON a.entity = b.entity AND a.product_key = b.product_key AND a.run = b.run + 1 WHERE b.price <> 0)
+SELECT count(*) AS rows, 0 AS differing FROM c WHERE abs(pct) >= 0.5 OR before <> now""",
+    "report_price_changes": f"""WITH {I.SNAPSHOTS_SQL}, c AS (SELECT a.entity, a.source_domain, a.product_key, b.price AS previous_price, a.price AS current_price,
+  (a.price - b.price) / b.price * 100 AS pct, b.promotion AS before, a.promotion AS now
+  FROM snapshots a JOIN snapshots b ON a.entity = b.entity AND a.product_key = b.product_key AND a.run = 1998 AND b.run = 1997 WHERE b.price <> 0)
+SELECT entity, product_key, previous_price, current_price, {R('pct', 2)} AS change_pct FROM c WHERE abs(pct) >= 0.5 OR before <> now ORDER BY entity, source_domain, product_key LIMIT 12""",
     "price_change_latest": f"""WITH {I.SNAPSHOTS_SQL}, c AS (SELECT a.entity, a.source_domain, a.product_key, b.price AS previous_price, a.price AS current_price,
   (a.price - b.price) / b.price * 100 AS pct, b.promotion AS promotion_before, a.promotion AS promotion_now
   FROM snapshots a JOIN snapshots b ON a.entity = b.entity AND a.product_key = b.product_key AND a.run = 1998 AND b.run = 1997 WHERE b.price <> 0)

@@ -55,15 +55,23 @@ def card_documents(cards: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("id", "linha", "preco", "regiao", "textos", "produto_normalizado"))).alias("cards"))
 
 
-def report_tables(signals: DataFrame, events: DataFrame, gaps: DataFrame, war: DataFrame, changes: DataFrame, sources: DataFrame,
-                  price_gaps: DataFrame) -> dict[str, DataFrame]:
-    """The tables of the report, each with the rows it shows."""
+def _report() -> dict[str, tuple[tuple, int | None]]:
+    """The report's tables: their order, and how many rows the report shows (all where None)."""
     return {
-        "signals": signals.orderBy("rank").limit(8),
-        "events": events.orderBy("rank").limit(15),
-        "price_gaps": price_gaps.orderBy(F.desc(F.abs("gap_percent")), "competitor", "target_id").limit(6),
-        "price_war": war.orderBy(F.desc("competitor_cheaper"), F.desc(F.abs("mean_gap")), "competitor").limit(10),
-        "price_changes": changes.orderBy("entity", "source_domain", "product_key").limit(12),
-        "sources": sources.orderBy("id").limit(80),
-        "gaps": gaps.orderBy("position"),
+        "signals": (("rank",), 8),
+        "events": (("rank",), 15),
+        "price_gaps": ((F.desc(F.abs("gap_percent")), "competitor", "target_id"), 6),
+        "price_war": ((F.desc("competitor_cheaper"), F.desc(F.abs("mean_gap")), "competitor"), 10),
+        "price_changes": (("entity", "source_domain", "product_key"), 12),
+        "sources": (("id",), 80),
+        "gaps": (("position",), None),
     }
+
+
+def report_tables(**tables: DataFrame) -> dict[str, DataFrame]:
+    """The named tables of the report, each with the rows it shows."""
+    out = {}
+    for name, df in tables.items():
+        order, shown = _report()[name]
+        out[name] = df.orderBy(*order) if shown is None else df.orderBy(*order).limit(shown)
+    return out
