@@ -57,7 +57,8 @@ def test_empty_summary(spark):
 def test_feed_and_ocr_files(spark, tmp_path):
     items = "".join(f"<item><title>t{i}</title><link>u{i}</link><description>&lt;b&gt;x&lt;/b&gt; y</description><pubDate>Mon, 10 Aug 2026 07:00:00 GMT</pubDate></item>" for i in range(12))
     (tmp_path / "a.xml").write_text(f"<rss><channel>{items}</channel></rss>")
-    feed = L.read_feed(spark, str(tmp_path / "a.xml"), "empresa").collect()
+    assert L.read_feed(spark, str(tmp_path / "a.xml"), "empresa").count() == 12
+    feed = L.read_feed(spark, str(tmp_path / "a.xml"), "empresa", per_query=10).collect()
     assert len(feed) == 10 and {r["snippet"] for r in feed} == {"x y"}
     (tmp_path / "o.json").write_text('{"arquivo":"p","deteccoes":[{"id":7,"texto":"A","x_min":1,"y_min":2,"x_max":50,"y_max":60,"confianca":0.5},{"texto":"B"}]}')
     t = {r["text"]: r for r in L.read_ocr(spark, str(tmp_path / "o.json")).collect()}

@@ -63,7 +63,8 @@ def mentioned(names: DataFrame, sources: DataFrame, text: str = "text", name: st
     t = once(t, {"_id": F.xxhash64("_t", F.length("_t"))})
     held = t.select("_id", F.explode(F.array_distinct(F.split("_t", " "))).alias("_word"))
     at = F.sequence(F.lit(1), F.length("_word"))
-    grams = F.concat(*[F.transform(at, lambda i, k=k: F.substring(F.col("_word"), i, F.lit(k))) for k in (1, 2, 3)])
+    cuts = lambda k: F.transform(at, lambda i: F.substring(F.col("_word"), i, F.lit(k)))
+    grams = F.concat(cuts(1), cuts(2), cuts(3))
     vocabulary = held.select("_word").where("_word <> ''").distinct().select("_word", F.explode(F.array_distinct(grams)).alias("_gram"))
     part = n.where(F.col("_whole").isNull()).withColumn("_gram", F.substring("_part", 1, 3))
     inside = vocabulary.join(part, "_gram").where(F.contains("_word", F.col("_part"))).select("name", "_n", "_word")
