@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import deltas, events as E, evidence as V, pages as P, prices as C, scores as S, signals as G
 from tidewatch.functions import text as T
-from tidewatch.rules import HOMONYM_PHRASES, RadarProfile
+from tidewatch.rules import RadarProfile
 
 HIT = "pos long, title string, url string, snippet string, channel string, published string, category string, target string"
-PROFILE = RadarProfile(company="Supermercado Carvalho", city="Teresina", state="PI", homonyms=HOMONYM_PHRASES)
+PROFILE = RadarProfile(company="Supermercado Pinheiro", city="Teresina", state="PI", homonyms=("pinheiro material de construcao",))
 
 
 def test_admission(spark):
     rows = [
-        (1, "Supermercado Carvalho abre loja", "https://www.x.com/a?utm_source=1", "em Teresina PI, nova loja e oferta", "web", "2026-07-01", "g", "Supermercado Carvalho"),
-        (2, "Carvalho material de construcao", "https://x.com/b", "ferramentas em Teresina", "web", "", "g", "Supermercado Carvalho"),
-        (3, "Outra coisa", "https://x.com/c", "nada", "web", "", "g", "Supermercado Carvalho"),
-        (4, "Supermercado Carvalho", "https://x.com/d", "in London", "web", "", "g", "Supermercado Carvalho"),
+        (1, "Supermercado Pinheiro abre loja", "https://www.x.com/a?utm_source=1", "em Teresina PI, nova loja e oferta", "web", "2026-07-01", "g", "Supermercado Pinheiro"),
+        (2, "Pinheiro material de construcao", "https://x.com/b", "ferramentas em Teresina", "web", "", "g", "Supermercado Pinheiro"),
+        (3, "Outra coisa", "https://x.com/c", "nada", "web", "", "g", "Supermercado Pinheiro"),
+        (4, "Supermercado Pinheiro", "https://x.com/d", "in London", "web", "", "g", "Supermercado Pinheiro"),
         (5, "Mateus cresce", "https://x.com/e", "rede em Fortaleza", "web", "10/05/2019", "g", "Mateus"),
         (6, "Mateus cresce", "https://x.com/e2", "rede em Fortaleza", "web", "10/05/2024", "g", "Mateus"),
         (7, "Mercado", "https://x.com/f", "tendencias", "web", "", "g", "mercado"),
-        (8, "sem url", "", "Supermercado Carvalho Teresina", "web", "", "g", "Supermercado Carvalho"),
+        (8, "sem url", "", "Supermercado Pinheiro Teresina", "web", "", "g", "Supermercado Pinheiro"),
     ]
     got = {r["pos"]: r for r in V.classify_hits(spark.createDataFrame(rows, HIT), PROFILE).collect()}
     assert [got[i]["reject_reason"] for i in range(1, 9)] == [None, "homonym", "entity_not_named", "foreign", "too_old", None, None, "no_url"]
@@ -123,8 +123,8 @@ SOURCE = ("id long, title string, url string, body string, snippet string, publi
 
 def test_two_reports_of_one_opening(spark):
     rows = [
-        (1, "Carvalho Super inaugura nova loja no bairro Jockey", "https://portal1.com/1", "Inauguração de supermercado", "", "2026-08-12", "C", True, True, "local", "C", "portal1.com", False),
-        (2, "Carvalho Super abre nova loja no bairro Jockey", "https://portal2.com/2", "Abertura de supermercado", "", "2026-08-12", "C", True, True, "local", "C", "portal2.com", False),
+        (1, "Pinheiro Super inaugura nova loja no bairro Jockey", "https://portal1.com/1", "Inauguração de supermercado", "", "2026-08-12", "C", True, True, "local", "C", "portal1.com", False),
+        (2, "Pinheiro Super abre nova loja no bairro Jockey", "https://portal2.com/2", "Abertura de supermercado", "", "2026-08-12", "C", True, True, "local", "C", "portal2.com", False),
         (3, "Concorrente Mateus abre vagas de emprego em Teresina", "https://portal3.com/3", "Processo seletivo", "", "2026-08-14", "", True, True, "local", "Mateus", "portal3.com", False),
     ]
     events, evidence = E.create_events(spark.createDataFrame(rows, SOURCE), "2026-08-20", P.price_gate())

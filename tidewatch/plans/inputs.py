@@ -29,7 +29,6 @@ EVENT_WORDS = {
     "REPUTAÇÃO": ("therin", "eaueau"), "ATENDIMENTO": ("hehe",), "PREÇO": ("ndth", "thre"),
     "DIGITAL": ("ingly",), "MARKETING": ("lich",), "PRODUTO/SERVIÇO": ("ation",), "PARCERIA": ("tion",),
 }
-STAFF_WORDS = ("nova unidade", "nova loja", "inaugur", "filial")
 PAGE_RULES = PageRules(
     path_hints=("product", "/en", "offer"), negative_hints=("blog", "news", "thanthan"),
     content_hints=("enier", "thatin", "price"), anchor_words=("the", "la", "der"),

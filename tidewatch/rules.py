@@ -29,7 +29,6 @@ PRIORITY_DOMAINS = {
     "portalodia.com": 0.90,
     "meionews.com": 0.88,
     "mppi.mp.br": 0.98,
-    "gruporcarvalho.com.br": 0.85,
 }
 
 TRUSTED_DOMAINS = ("gov.br", "mppi.mp.br", "reclameaqui.com.br", "g1.globo.com")
@@ -40,7 +39,7 @@ FOREIGN_CITIES = (
 )
 
 HOMONYM_PHRASES = (
-    "loja de ferramentas", "m carvalho & cia", "m carvalho e cia", "ferramentas",
+    "loja de ferramentas", "ferramentas",
     "material de construcao",
 )
 
