@@ -92,9 +92,13 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str)
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose key is in ``gone``; rows without a key stay."""
+    """``docs`` less the rows whose key is in ``gone``; rows without a key stay.
+
+    The keys are written first: as their size is known then, Spark broadcasts them
+    if they are below its threshold, and only otherwise deals the rows out by key.
+    """
     name = f"_gone_{uuid.uuid4().hex[:8]}"
-    out = gone.select(F.col(key).alias(name)).distinct()
+    out = cut(gone.select(F.col(key).alias(name)).distinct())
     return docs.join(out, docs[key] == out[name], "left_anti")
 
 
