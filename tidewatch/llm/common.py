@@ -71,6 +71,18 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def least_hashed(rows: DataFrame, hashed: str, order: list[str], bound: int) -> DataFrame:
+    """The ``bound`` rows with the smallest value of ``hashed``, a 64-bit hash; fewer only if its values crowd at the top.
+
+    Rows that are surely beyond the bound are left out beforehand, so that every
+    partition sends its share of the result and not ``bound`` rows.
+    """
+    share = 2 * bound / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.col(hashed) < int(share * 2.0**64 - 2.0**63))
+    return rows.orderBy(hashed, *order).limit(bound)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Add the 0-based rank by ``order`` among the rows of equal ``keys``, for keys of any size.
 
@@ -102,4 +114,4 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(out, docs[key] == out[name], "left_anti")
 
 
-__all__ = ["count_words", "crc_mod", "cut", "documents", "drop_cut", "map_texts", "pieces", "rank_within", "without", "words_of"]
+__all__ = ["count_words", "crc_mod", "cut", "documents", "drop_cut", "least_hashed", "map_texts", "pieces", "rank_within", "without", "words_of"]

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, documents, map_texts
+from .common import cut, documents, least_hashed, map_texts
 
 LABELLED = 20_000
 """Labelled rows that a list is learned from, at most."""
@@ -180,7 +180,7 @@ def learn_list(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     marked = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_id"), F.col(label).alias("_label"))
     rows = stats.where(~base_failed()).join(marked, stats[key] == F.col("_id")).select(
         F.xxhash64(F.lit(5), "_id").alias("_h"), "_id", (F.col("_label") == bad).alias("_bad"), *[feature(f).alias(f) for f in FEATURES])
-    got = rows.orderBy("_h", "_id", *FEATURES).limit(bound).toPandas()
+    got = least_hashed(rows, "_h", ["_id", *FEATURES], bound).toPandas()
     return learn_rules({f: got[f].to_numpy(float) for f in FEATURES}, got["_bad"].to_numpy(bool)) if len(got) else []
 
 
