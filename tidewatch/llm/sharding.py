@@ -61,8 +61,10 @@ def exchange(state: DataFrame, shards: int) -> DataFrame | None:
     """One round of exchanges; None if none is left to make."""
     most = state.where("unit is not null").groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(
         F.max_by("shard", F.struct("n", -F.col("shard"))).alias("want"))
-    asked = cut(state.join(most, "unit", "left").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want"))))
     idle = F.col("unit").isNull()
+    # unlinked rows have nothing to look up, and would all meet under the missing key
+    linked = state.where(~idle).join(most, "unit").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want")))
+    asked = cut(linked.select("row", "shard", "unit", "want").unionByName(state.where(idle).select("row", "shard", "unit", F.lit(None).cast("int").alias("want"))))
     counts = asked.where(idle | F.col("want").isNotNull()).groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n")).collect()
     asks = {(r["shard"], r["want"]): r["n"] for r in counts if r["want"] is not None}
     free = {r["shard"]: r["n"] for r in counts if r["want"] is None}
