@@ -11,9 +11,11 @@ branches per level a pair of similarity 0.8 meets in a tree with probability
 
 A node at the last level that is still large holds classes that are alike. It is
 settled by random blocks: classes linked within a block count as one from then
-on, one of each goes to the next round of blocks, and when no round links any
-more, classes that are still apart are compared block by block. So a group of
-many copies costs a few passes over its members, not their pairs.
+on, and one of each goes to the next round of blocks. When rounds link next to
+nothing more, the largest component of a node is its host, and the classes that
+are still outside it are compared with each other and with the host's members on
+their full sets, in cells of bounded size. So a group of many copies costs a few
+passes over its members and, for each class that belongs to none, one more.
 
 Candidates come from codes of one byte per token, with a threshold far enough
 below the wanted similarity that chance does not lose a pair. Every candidate is
@@ -22,8 +24,9 @@ confirmed on the full sets before it links.
 Defined cases: null texts and texts without words have an empty set and are
 linked with nothing; texts with fewer words than a shingle have their whole
 sequence as their one shingle; rows without an id belong to the component of
-their set but give it no name; repeated rows are judged each; other columns are
-not read; an empty table gives an empty result.
+their set but give it no name; repeated rows are judged each, and rows of one id
+are taken to hold one text; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +47,10 @@ SMALL = 64
 """Classes of a node that are compared exhaustively."""
 KNOWN_WORDS = 300_000
 """Hashes of so many words are held by a task; then it starts anew."""
+CELL_ROWS, CELL_BYTES = 1024, 8 << 20
+"""Rows and bytes of each side of a cell, about, in which sets are compared at last."""
+WORTH = 0.05
+"""Another round of blocks follows if the last one linked so many of the rows it dealt."""
 SLACK = 5.0
 """Standard deviations that a candidate's estimate may lie below the wanted similarity."""
 U = np.uint64
@@ -288,6 +295,7 @@ class Linker:
         share = percent / 100
         self.least = int(CODES * (share - SLACK * (share * (1 - share) / CODES) ** 0.5))
         self.comps = self.links = self.tried = None
+        self.added = 0  # links that the last call brought
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the component of their ``id``."""
@@ -297,6 +305,7 @@ class Linker:
 
     def link(self, rows: DataFrame, chain: bool) -> tuple[bool, bool]:
         """Compare ``rows`` (with components), confirm candidates that were not tried before; whether candidates and links came."""
+        self.added = 0
         found = alike(rows, self.least, chain)
         if self.tried is not None:
             found = found.join(self.tried, ["a", "b"], "left_anti")
@@ -304,12 +313,85 @@ class Linker:
         if found.isEmpty():
             return False, False
         self.tried = found if self.tried is None else self.tried.unionByName(found)
-        new = cut(confirm(found, *self.how))
-        if new.isEmpty():
-            return True, False
-        self.links = new if self.links is None else self.links.unionByName(new)
-        self.comps = components(self.links)
-        return True, True
+        return True, self.add(confirm(found, *self.how))
+
+    def add(self, links: DataFrame) -> bool:
+        new = cut(links)
+        self.added = new.count()
+        if self.added:
+            self.links = new if self.links is None else self.links.unionByName(new)
+            self.comps = components(self.links)
+        return self.added > 0
+
+    def gather(self, rows: DataFrame) -> None:
+        """Compare on full sets what is outside the largest component of its node, with that component and with each other."""
+        docs, size, percent, text, key = self.how
+        host = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("node").agg(
+            F.max_by("comp", F.struct("_n", -F.col("comp"))).alias("host"))
+        odd = rows.join(host, "node").where("comp <> host").select("host", "id", "comp").distinct()
+        odd = cut(odd.join(self.classes.select("id", "n_shingles"), "id"))
+        hosts = odd.select("host").distinct()
+        inside = cut(self.placed(self.classes.select("id", "n_shingles")).join(hosts, F.col("comp") == F.col("host")).select("host", "id", "comp", "n_shingles"))
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_ROWS), F.ceil(F.sum("n_shingles") * 8 / CELL_BYTES))
+        sizes = odd.groupBy("host").agg(many.alias("q")).join(inside.groupBy("host").agg(many.alias("p")), "host")
+        cell = lambda kind, i, j: F.xxhash64("host", F.lit(kind), i, j)
+        mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        members = inside.join(sizes, "host").select(
+            F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: cell(0, i, mine("p")))).alias("cell"), "id", "comp", F.lit(False).alias("odd"))
+        others = odd.join(sizes, "host").select(F.explode(F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: cell(0, mine("q"), j)),
+            F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: 
+                cell(1, F.least(mine("q"), j), F.greatest(mine("q"), j))))).alias("cell"), "id", "comp", F.lit(True).alias("odd"))
+        placed = cut(members.unionByName(others))
+        wanted = cut(placed.select(F.col("id").alias("_wanted")).distinct())
+        sets = cut(sets_of(docs.join(wanted, docs[key] == wanted["_wanted"], "left_semi").dropDuplicates([key]), size, text, key))
+        full = placed.join(sets, "id").repartition("cell").sortWithinPartitions("cell")
+        self.add(full.mapInArrow(cell_links(percent), "a long, b long").distinct())
+
+
+def cell_links(percent: int):
+    """Links among the rows of a cell, (cell, id, comp, odd, items) sorted by cell: enough of them to join what is alike.
+
+    Rows marked odd are compared with all others of the cell.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for row in batch.select(["cell", "id", "comp", "odd", "items"]).to_pylist():
+                if held and held[0]["cell"] != row["cell"]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    def links(rows: list[dict]) -> pa.RecordBatch:
+        sets = [np.frombuffer(r["items"], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        words, code = np.unique(np.concatenate(sets), return_inverse=True)
+        root = {r["comp"]: r["comp"] for r in rows}
+
+        def end(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found, mark = [], np.zeros(len(words), bool)
+        for i, row in enumerate(rows):
+            if row["odd"]:
+                own = code[starts[i]:starts[i] + sizes[i]]
+                mark[own] = True
+                common = np.add.reduceat(mark[code], starts)
+                mark[own] = False
+                for j in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common)).tolist():
+                    a, b = end(row["comp"]), end(rows[j]["comp"])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        found.append(sorted((row["id"], rows[j]["id"])))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -331,23 +413,22 @@ def link_large(linker: Linker, large: DataFrame) -> None:
         if rows.isEmpty():
             return
         one = rows.groupBy("node", "comp").agg(F.min_by(F.struct("id", "codes"), F.xxhash64(F.lit(turn), "id")).alias("x")).select("node", "comp", "x.*")
+        one = cut(one)
         sizes = one.groupBy("node").agg(F.ceil(F.count(F.lit(1)) * 2 / SMALL).alias("_blocks"))
         dealt = one.join(sizes, "node").withColumn("node", block(F.col("node"), F.pmod(F.xxhash64(F.lit(-turn), "id"), F.col("_blocks"))))
-        if not linker.link(dealt.drop("_blocks"), chain=True)[1]:
+        linker.link(dealt.drop("_blocks"), chain=True)
+        if linker.added < WORTH * one.count():
             break
-    # what no round of blocks joined: every two blocks of a node meet once
-    sizes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) * 2 / SMALL).alias("_blocks"))
-    own = F.pmod(F.xxhash64(F.lit(0), "id"), F.col("_blocks"))
-    grid = rows.join(sizes, "node").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cell = F.struct(F.least("_own", "_other"), F.greatest("_own", "_other"))
-    linker.link(grid.withColumn("node", block(F.col("node"), cell)).select("node", "id", "codes", "comp"), chain=False)
+    rows = cut(apart(linker.placed(large.select("node", "id", "codes"))))
+    if not rows.isEmpty():
+        linker.gather(rows)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
     rows = cut(describe(docs, size, text, key))
     classes = cut(rows.where("n_shingles > 0 and id is not null").groupBy("same").agg(
-        F.min("id").alias("id"), F.first("codes").alias("codes"), F.first("nodes").alias("nodes")))
+        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"), F.first("nodes").alias("nodes")))
     small, large = tree_nodes(classes)
     linker = Linker(classes, docs, size, percent, text, key)
     if linker.link(linker.placed(small), chain=True)[0]:
