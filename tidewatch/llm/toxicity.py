@@ -7,8 +7,8 @@ learned by following the noisy-or's gradient back to the sentences. The same
 scores then tell which sentences offend.
 
 Learning reads at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled
-documents, those with the smallest hash of their text, which keeps ids out of
-it; scoring covers every row and whole texts.
+documents, those with the smallest hash of their id; scoring covers every row
+and whole texts.
 
 Defined cases: null and empty texts have no sentence and score 0; repeated rows
 are scored each; labels that are null or belong to no document are not learned
@@ -24,7 +24,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, documents, map_texts
+from .common import crc_mod, documents, least_hashed, map_texts
 
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
 """Labelled documents that the weights are learned from, at most."""
@@ -125,14 +125,24 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 200, rate: float = 0.1
     return Model({k: float(v) for k, v in zip(names, x) if v > 0.01}, float(x[-1]))
 
 
-def learn(rows: DataFrame, text: str, label: str) -> Model:
-    """A model from labelled rows: per label, the rows with the smallest hash of their text."""
-    def some(value: int, bound: int) -> list[str]:
-        part = rows.where((F.col(label) == value) & F.col(text).isNotNull()).select(F.xxhash64(F.lit(3), text).alias("h"), F.col(text).alias("t"))
-        return [r["t"] for r in part.orderBy("h", "t").limit(bound).toLocalIterator()]
+def chosen(labels: DataFrame, label: str, key: str, folds: int) -> list[tuple]:
+    """(id, label) of the labelled rows to learn from: outside the held-out fold, per label those with the smallest hash of the id."""
+    rows = labels.where(F.col(key).isNotNull() & (crc_mod(F.col(key), folds) != 0)).select(
+        F.col(key).alias("_id"), F.col(label).alias("_label"), F.xxhash64(F.lit(3), key).alias("_hash")).distinct()
+    part = lambda value, bound: least_hashed(rows.where(F.col("_label") == value), "_hash", ["_id"], bound).collect()
+    return [(r["_id"], r["_label"]) for r in part(1, TOXIC_ROWS) + part(0, CLEAN_ROWS)]
 
-    bad, good = some(1, TOXIC_ROWS), some(0, CLEAN_ROWS)
-    return fit(bad + good, np.array([1] * len(bad) + [0] * len(good)))
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", folds: int = 5) -> DataFrame:
+    """(text, label) of the documents to learn from; texts are picked by a list of bounded size, so none of the others moves."""
+    ids = docs.sparkSession.createDataFrame(chosen(labels, label, key, folds), f"_id {docs.schema[key].dataType.simpleString()}, _label int")
+    return docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), docs[key] == F.col("_id")).select(F.col(text).alias("text"), "_label")
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", folds: int = 5) -> Model:
+    """A model from the chosen labelled documents."""
+    got = sorted((r["_label"], r["text"]) for r in labelled(docs, labels, label, text, key, folds).collect())
+    return fit([t for _, t in got], np.array([y for y, _ in got]))
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -154,15 +164,9 @@ def offending_sentences(docs: DataFrame, model: Model, text: str = "text", key:
     return found.select(key, F.inline("found"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", folds: int = 5) -> DataFrame:
-    """(text, label) of the documents outside the held-out fold."""
-    marked = labels.where(F.col(label).isNotNull() & (crc_mod(F.col(key), folds) != 0)).select(F.col(key).alias("_id"), F.col(label).alias("_label"))
-    return docs.join(marked, docs[key] == F.col("_id")).select(F.col(text).alias("text"), "_label")
-
-
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy on held-out labels and the noisy-or itself are tested."""
     docs = documents(spark, sf)
-    model = learn(labelled(docs, documents(spark, sf, "labels")), "text", "_label")
+    model = learn(docs, documents(spark, sf, "labels"))
     scored = score_texts(docs, model)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
