@@ -106,6 +106,44 @@ def test_a_group_larger_than_a_shard_is_parted(spark):
     assert hot.max() >= 20  # parts of 12 rows, two to a shard at best; spread evenly there would be 11
 
 
+def groups_on_shards(spark, sizes, shards):
+    """Rows of every group on every shard, for groups of the given sizes (1: unlinked)."""
+    rows = [(g, f"text {g}") for g, n in enumerate(sizes) for _ in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = sharding.shard_rows(docs, shards=shards).collect()
+    assert len({r.doc_id for r in got}) == len(got) == len(rows)
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
+    lie = {}
+    for r in got:
+        lie.setdefault(rows[r.doc_id][0], Counter())[r.shard] += 1
+    return lie
+
+
+@pytest.mark.parametrize("large", [256, 1])
+def test_a_group_that_fits_on_a_shard_is_not_parted(spark, monkeypatch, large):
+    """Groups of half to all of a quota, then many small ones that leave few unlinked rows."""
+    monkeypatch.setattr(sharding, "LARGE", large)
+    for sizes in ([25, 20, 18, 14] + [1] * 123, [9] * 4 + [5] * 16 + [2] * 30 + [1] * 24, [24] + [3] * 40 + [1] * 56):
+        lie = groups_on_shards(spark, sizes, 8)
+        assert all(len(c) == 1 for c in lie.values())
+
+
+@pytest.mark.parametrize("large", [256, 1])
+def test_parts_have_the_size_of_a_quota(spark, monkeypatch, large):
+    monkeypatch.setattr(sharding, "LARGE", large)
+    lie = groups_on_shards(spark, [90] + [7] * 6 + [1] * 68, 8)
+    assert sorted(lie[0].values()) == [15, 25, 25, 25]
+    assert all(len(lie[g]) == 1 for g in range(1, 7))
+
+
+def test_a_group_is_parted_only_when_no_shard_has_room(spark):
+    lie = groups_on_shards(spark, [3, 3, 2, 2, 2], 2)
+    assert all(len(c) == 1 for c in lie.values())
+    lie = groups_on_shards(spark, [6, 6, 6], 2)  # nine rows to a shard
+    assert sorted(len(c) for c in lie.values()) == [1, 1, 2]
+
+
 def plain_statistics(text):
     words = (text or "").encode().split()
     wins = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
