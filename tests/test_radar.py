@@ -180,3 +180,22 @@ def test_text_rules(spark):
     df = spark.createDataFrame([("Inauguração de nova filial abertura",), ("Empresa abre 50 vagas de emprego nova loja",), ("oferta e desconto",), ("nada",)], "t string")
     kind = E.primary_kind(T.normalise(F.col("t")), F.lit(True))
     assert [r[0] for r in df.select(kind).collect()] == ["EXPANSÃO", "PESSOAS", "PREÇO", None]
+
+
+def test_same_fact_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    """Every pair of one entity and kind, whatever lies between, in one cell or many."""
+    rng = random.Random(11)
+    words = "nova loja abre centro procon multa rede oferta queda preco arroz norte sul cliente vendas".split()
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 6))) for _ in range(10)] + ["", "abcabcabc xyz", "abc xyzabcabc"]
+    days = ["", "2024-01-01", "2024-02-14", "2024-02-15", "2024-02-16", "2024-03-30", "2024-05-20", "someday"]
+    rows = [(i, rng.choice(["Rede A", "rede a", "B"]), rng.choice(["PREÇO", "REGULAÇÃO"]), rng.choice(titles), rng.choice(days)) for i in range(200)]
+    c = spark.createDataFrame(rows, "source_id long, entity string, kind string, title string, date string")
+    s = c.withColumns({"title": T.normalise(F.col("title")), "g": T.normalise(F.col("entity")), "day": F.coalesce(F.unix_date(T.parse_date(F.col("date"))), F.lit(E.UNDATED))})
+    s = s.withColumn("tokens", T.event_tokens(F.col("title")))
+    side = lambda n: s.select("g", "kind", *[F.col(x).alias(n + x) for x in ("source_id", "title", "tokens", "date", "day")])
+    all_pairs = side("a_").join(side("b_"), ["g", "kind"]).where("a_source_id < b_source_id")
+    want = sorted((r.a_source_id, r.b_source_id, r.kind) for r in E.same_fact(all_pairs, "a_", "b_", 0.70, 0.55, 45).collect())
+    assert len(want) > 100
+    for cell in (1024, 3):
+        monkeypatch.setattr(E, "CELL", cell)
+        assert sorted(tuple(r) for r in E.same_fact_pairs(c, 0.70, 0.55, 45).collect()) == want

@@ -127,16 +127,8 @@ def top_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def same_fact_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring candidates (by landing order, within source and kind) that tell one fact."""
-    from pyspark.sql import Window
-
-    c = _candidates(spark, sf).withColumn("t", T.normalise(F.col("title")))
-    w = Window.partitionBy("entity", "kind").orderBy("source_id")
-    side = F.struct(F.col("source_id").alias("id"), F.col("t").alias("title"), T.event_tokens(F.col("t")).alias("tokens"), "date",
-                    F.coalesce(F.unix_date(T.parse_date(F.col("date"))), F.lit(E.UNDATED)).alias("day"))
-    p = c.select("kind", side.alias("b"), F.lag(side).over(w).alias("a")).where(F.col("a").isNotNull())
-    flat = p.select("kind", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "ab" for f in ("id", "title", "tokens", "date", "day")])
-    return E.same_fact(flat, "a_", "b_", 0.70, 0.55, 45).select("a_id", "b_id", "kind")
+    """All pairs of candidates (of one source and kind, at most 45 days apart) that tell one fact."""
+    return E.same_fact_pairs(_candidates(spark, sf), 0.70, 0.55, 45)
 
 
 def dimension_scores(spark: SparkSession, sf: str) -> DataFrame:
