@@ -82,3 +82,17 @@ def test_price_war_median_is_the_upper_one(spark):
                                "competitor string, target_id long, gap_percent double, cheaper string, target_promotion boolean, competitor_promotion boolean")
     r = M.price_war(df).first()
     assert (r["median_gap"], r["largest_gap"], r["mean_gap"]) == (3.0, -9.0, -0.25)
+
+
+def test_price_sources_are_not_cut(spark, tmp_path):
+    """Every link of a seed's page and every domain is reported, as no top list was asked for."""
+    from tidewatch.plans import trade_queries as Q
+
+    links = "".join(f'<a href="/product/{i}">the offer</a>' for i in range(7))
+    pages = [(h, f"https://shop{h:02d}.org/", f"<html><body>{links}</body></html>") for h in range(25)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {(r["domain"], r["url"]) for r in Q.price_sources(spark, str(tmp_path)).where("name = 'org'").collect()}
+    want = {(f"shop{h:02d}.org", f"https://shop{h:02d}.org/product/{i}") for h in range(25) for i in range(7)}
+    assert want <= found
+    merged = Q.merged_price_sources(spark, str(tmp_path)).groupBy("role").agg(F.countDistinct("domain").alias("n")).collect()
+    assert {r["role"]: r["n"] for r in merged} == {"target": 25, "competitor": 25}

@@ -109,7 +109,7 @@ def _price_sources(spark, sf):
         (F.col("page_id") % 2 == 0).alias("is_direct"), (F.col("page_id") % 3 == 0).alias("is_current"), (F.col("page_id") % 5 == 0).alias("city_ok"),
         (F.length("html") / 10).alias("score"))
     hits = pages.select(F.col("page_id").alias("pos"), F.element_at(F.split("domain", r"\."), -1).alias("target"), "url", F.lit("loja online").alias("title"), F.lit("").alias("snippet"))
-    found = P.discover_price_sources(sources, hits, pages.drop("domain"), company="example", per_entity=4, rules=rules)
+    found = P.discover_price_sources(sources, hits, pages.drop("domain"), company="example", rules=rules)
     return pages, found, rules
 
 
@@ -120,7 +120,7 @@ def price_sources(spark: SparkSession, sf: str) -> DataFrame:
 def merged_price_sources(spark: SparkSession, sf: str) -> DataFrame:
     pages, found, rules = _price_sources(spark, sf)
     set_up = pages.groupBy("domain").agg(F.min("url").alias("url")).select(F.lit("example").alias("name"), F.lit("target").alias("role"), "url", F.lit("").alias("location_note"))
-    return P.compact_sources(P.merge_price_sources(set_up, found), per_role=20, rules=rules)
+    return P.compact_sources(P.merge_price_sources(set_up, found), rules=rules)
 
 
 def page_products(spark: SparkSession, sf: str) -> DataFrame:
