@@ -56,6 +56,25 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, text: str, beside: list[str], make: Callable[[], Callable[..., list]], fields: str) -> DataFrame:
+    """Replace ``text`` and the columns ``beside`` by ``fields``; the function made by ``make`` gets a list per replaced column."""
+    made = T.StructType.fromDDL(fields)
+    passed = [f for f in df.schema.fields if f.name not in (text, *beside)]
+    schema = T.StructType(passed + made.fields)
+    names, arrow = [f.name for f in passed], to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for piece in pieces(batch, text):
+                out = work(*[piece.column(c).to_pylist() for c in (text, *beside)])
+                cols = [piece.column(n) for n in names] + list(out)
+                yield pa.RecordBatch.from_arrays(
+                    [(c if isinstance(c, pa.Array) else pa.array(c, f.type)).cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The maximal runs outside space and U+0009 to U+000D; splitting bytes parts at exactly these six."""
     return text.encode().split() if text else []
@@ -114,4 +133,4 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(out, docs[key] == out[name], "left_anti")
 
 
-__all__ = ["count_words", "crc_mod", "cut", "documents", "drop_cut", "least_hashed", "map_texts", "pieces", "rank_within", "without", "words_of"]
+__all__ = ["count_words", "crc_mod", "cut", "documents", "drop_cut", "least_hashed", "map_rows", "map_texts", "pieces", "rank_within", "without", "words_of"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language, mixing, near_dup, pieces, quality, sharding, token_counts, toxicity
+from . import (
+    exact_dedup, fill_middle, fingerprints, html_text, language, mixing, near_dup, periodic_runs, pieces, quality, sharding, token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -15,5 +18,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language": language.op9_language,
     "op10_sharding": sharding.op10_sharding,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLES = {"op8_exact_dedup": exact_dedup.OP8_SQL, "op12_fill_in_middle": fill_middle.OP12_SQL}
