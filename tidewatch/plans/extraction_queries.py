@@ -125,7 +125,7 @@ def flyer_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flyer_price_items(spark: SparkSession, sf: str) -> DataFrame:
-    return Y.price_items(Y.extract_flyers(I.flyer_tokens(spark, sf))[0], "Assai")
+    return Y.price_items(Y.extract_flyers(I.flyer_tokens(spark, sf))[0], "Shop A")
 
 
 def ocr_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +143,7 @@ def card_scan(spark: SparkSession, sf: str) -> DataFrame:
     price = F.replace(F.format_string("R$ %.2f", F.col("price")), F.lit("."), F.lit(","))
     card = F.struct("pos", F.struct(price.alias("texto")).alias("preco"), F.array(F.struct(F.col("name").alias("texto")), F.struct(F.col("unit").alias("texto")), F.struct(F.lit("extra").alias("texto"))).alias("textos"))
     files = old.groupBy(F.col("doc_id").alias("arquivo")).agg(F.array_sort(F.collect_list(card)).alias("c")).select("arquivo", F.transform("c", lambda x: x.dropFields("pos")).alias("cards"))
-    return L.card_items(files, "Assai").select("doc_id", "name", "price", "availability", "price_confidence")
+    return L.card_items(files, "Shop A").select("doc_id", "name", "price", "availability", "price_confidence")
 
 
 def _diff(spark, sf):

@@ -1,8 +1,9 @@
-"""All registered queries and the SQL that checks them."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from . import extraction_queries, radar_queries, trade_queries
+from . import extraction_queries, radar_queries, switch_queries, trade_queries
 
-QUERIES = {**trade_queries.QUERIES, **radar_queries.QUERIES, **extraction_queries.QUERIES}
-ORACLES = {**trade_queries.ORACLES, **radar_queries.ORACLES, **extraction_queries.ORACLES}
+_MODULES = (radar_queries, trade_queries, extraction_queries, switch_queries)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
