@@ -26,32 +26,48 @@ def test_similarity(spark):
 
 
 def test_matching_equals_all_pairs(spark):
+    """The best of all pairs, comparable or not; a competitor without items finds nothing."""
     rng = random.Random(7)
     words = "arroz branco tio cafe pilao forte suave leite integral po sabao em de kg".split()
-    make = lambda: (" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))), rng.choice(["", "A", "B"]), rng.choice(["", "1kg", "1000g", "500 ml", "2 un", "caixa"]),
-                    rng.choice(["", "", "s1", "s2"]))
+    others = "zyx wvu tsr".split()
+    make = lambda words: (" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))), rng.choice(["", "A", "B"]), rng.choice(["", "1kg", "1000g", "500 ml", "2 un", "caixa"]),
+                          rng.choice(["", "", "s1", "s2"]))
     cols = "name string, brand string, unit string, sku string, price double, old_price double, promotion boolean, url string"
-    t_rows = [(i, *make(), 10.0, None, False, "t") for i in range(40)]
-    c_rows = [(rng.choice("xy"), i, *make(), 11.0, None, False, "c") for i in range(150)]
+    t_rows = [(i, *make(words if i < 40 else others), rng.choice([10.0, 10.0, 1.0, None]), None, False, "t") for i in range(50)]
+    c_rows = [(rng.choice("xy"), i, *make(words), 11.0, None, False, "c") for i in range(150)]
     targets = spark.createDataFrame(t_rows, "target_id long, " + cols)
     catalogue = spark.createDataFrame(c_rows, "competitor string, pos long, " + cols)
-    got = {(r["target_id"], r["competitor"]): r for r in M.match_products(targets, catalogue).collect()}
-    assert len(got) == 80
-    s = lambda df, n: df.withColumn(n, F.struct("name", "brand", "unit", "sku"))
-    pairs = s(targets, "a").select("target_id", "a").join(s(catalogue, "b").select("competitor", "pos", "b"), F.lit(True))
-    best = {}
-    for r in M.product_similarity(pairs).collect():
-        k, v = (r["target_id"], r["competitor"]), (-r["similarity"], r["pos"])
-        if k not in best or v < best[k][:2]:
-            best[k] = (*v, r["b"]["name"])
-    found = 0
-    for k, (neg, _, name) in best.items():
-        if -neg >= 0.72:
-            found += 1
-            assert got[k]["competitor_product"] == name and got[k]["similarity"] == round(-neg, 3)
-        else:
-            assert got[k]["match_class"] == "nao_comparavel" and got[k]["competitor_product"] is None
-    assert found >= 10
+    rivals = spark.createDataFrame([("x",), ("y",), ("z",)], "competitor string")
+    for items in (catalogue, catalogue.where("name not in ('em', 'de', 'kg', 'em em', 'de de')")):
+        got = {(r["target_id"], r["competitor"]): r for r in M.match_products(targets, items, competitors=rivals).collect()}
+        assert len(got) == 150
+        s = lambda df, n: df.withColumn(n, F.struct("name", "brand", "unit", "sku"))
+        pairs = s(targets, "a").select("target_id", "a").join(s(items, "b").select("competitor", "pos", "b"), F.lit(True))
+        best = {}
+        for r in M.product_similarity(pairs).collect():
+            k, v = (r["target_id"], r["competitor"]), (-r["similarity"], r["pos"])
+            if k not in best or v < best[k][:2]:
+                best[k] = (*v, r["b"]["name"])
+        assert len(best) == 100
+        price = {r[0]: r[5] for r in t_rows}
+        for k, (neg, _, name) in best.items():
+            r = got[k]
+            assert (r["competitor_product"], r["similarity"]) == (name, round(-neg, 3)), k
+            if -neg < 0.72 or price[k[0]] is None:
+                assert r["match_class"] == "nao_comparavel" and r["cheaper"] == "não comparável" and r["gap_percent"] is None
+            else:
+                assert r["match_class"] == ("revisao_necessaria" if price[k[0]] == 1.0 else "confirmado" if -neg >= 0.90 else "provavel")
+        for i in range(50):
+            r = got[(i, "z")]
+            assert (r["match_class"], r["cheaper"], r["similarity"], r["competitor_product"], r["match_confidence"]) == ("nao_encontrado", "não encontrado", 0.0, None, "baixa")
+        assert {r["match_class"] for r in got.values()} == {"confirmado", "provavel", "revisao_necessaria", "nao_comparavel", "nao_encontrado"}
+
+
+def test_admission_of_items(spark):
+    rows = [("Arroz 1kg", "https://a.com.br/produto/1", "product_jsonld", 0.70), ("Arroz 2kg", "https://a.com.br/produto/2", "product_jsonld", 0.69),
+            ("Arroz 3kg", "https://a.com.br/noticias/3", "product_jsonld", 0.95), ("Arroz 4kg", "https://a.com.br/x", "", None)]
+    items = spark.createDataFrame(rows, "name string, url string, page_type string, price_confidence double")
+    assert [r["name"] for r in M.admitted(items).collect()] == ["Arroz 1kg"]
 
 
 PAGE = "page_id long, source string, role string, url string, html string, location_note string"

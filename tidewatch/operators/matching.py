@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.similarity import jaccard, ratio_ceiling, sequence_ratio
-from ..plans.lineage import first_by, once
+from ..plans.lineage import cut, first_by, once
 
 # Weights of the similarity of two products.
 OVERLAP_WEIGHT, SEQUENCE_WEIGHT = 0.64, 0.24
@@ -110,22 +110,48 @@ def _class_keys(brand: Column, amount: Column, base: Column, kinds: Column, sku:
     return F.concat(plain, F.coalesce(coded, F.array().cast("array<string>")))
 
 
+def _with_bounds(brand: Column, amount: Column, base: Column, sku: Column) -> Column:
+    """The same combinations for a target, each with the most that attributes can add there: array of (class, most)."""
+    kinds = F.array(*[F.lit(k) for k in UNIT_KINDS])
+    keys = _class_keys(brand, amount, base, kinds, sku)
+    plain = lambda k: F.when(k.startswith("s|"), F.substring(k, F.length(sku) + 4, 1 << 20)).otherwise(k)
+    branded = lambda k: F.when((brand != "") & plain(k).startswith("b"), SAME_BRAND).otherwise(0.0)
+    exact = lambda k: F.when(plain(k).startswith("bq|") | plain(k).startswith("q|"), SAME_QUANTITY).otherwise(0.0)
+    coded = lambda k: F.when(k.startswith("s|"), SAME_SKU).otherwise(0.0)
+    return F.transform(keys, lambda k: F.struct(k.alias("class"), (branded(k) + exact(k) + coded(k)).alias("most")))
+
+
+def admitted(items: DataFrame, least: float = 0.70, rules=None) -> DataFrame:
+    """Items sure enough to be compared, from pages that are neither blocked nor about news or jobs.
+
+    ``items`` holds name, url, page_type and price_confidence; an item without confidence counts as unsure.
+    """
+    from .pages import RULES, page_type
+
+    kind = page_type(F.col("url"), F.coalesce("page_type", F.lit("")), F.col("name"), rules or RULES)
+    return items.where(F.coalesce("price_confidence", F.lit(0.0)) >= least).where(~kind.isin("BLOCKED", "ARTICLE_OR_EMPLOYMENT"))
+
+
 def match_products(
     targets: DataFrame,
     catalogue: DataFrame,
     min_similarity: float = 0.72,
+    competitors: DataFrame | None = None,
 ) -> DataFrame:
-    """Best comparable item of every competitor for every target product.
+    """Best item of every competitor for every target product, comparable or not.
 
     ``targets`` holds target_id, name, brand, unit, sku, price, old_price,
     promotion, url; ``catalogue`` competitor, pos and the same product columns.
-    One row per target and competitor. ``min_similarity`` must exceed 0.56:
-    below it names without a common word could match, and no join key is left.
-
-    Names are compared once per distinct pair. A competitor's items are then
-    reached through their attributes: for one name the score depends only on
-    brand, quantity, unit kind and code, so the first item of each such class
-    stands for all of it and no target meets a whole catalogue.
+    One row per target and competitor; ``competitors`` (competitor) names also
+    those whose catalogue is empty, for which nothing is found. ``min_similarity``
+    must exceed 0.56: below it names without a common word could match.
+
+    Names are compared once per distinct pair. A competitor's items are reached
+    through their attributes: for one name the score depends only on brand,
+    quantity, unit kind and code, so the first item of each such class stands
+    for all of it. Targets without a comparable item go on to names that share
+    a word, and then, class by class, only where a name without one could still
+    beat the best found.
     """
     slack = SAME_BRAND + SAME_QUANTITY
     least = (min_similarity - SEQUENCE_WEIGHT - slack) / OVERLAP_WEIGHT
@@ -133,7 +159,7 @@ def match_products(
         raise ValueError("min_similarity must be above 0.56")
     attrs = ["_name", "_brand", "_amount", "_base", "_kind", "_sku"]
     payload = ["label", "price", "old_price", "promotion", "url"]
-    t, c = describe(targets), describe(catalogue).withColumnRenamed("name", "label")
+    t, c = cut(describe(targets)), cut(describe(catalogue).withColumnRenamed("name", "label"))
 
     t_names = t.select("_name", "_tokens").distinct()
     c_names = c.select("_name", "_tokens").distinct()
@@ -158,36 +184,69 @@ def match_products(
     ).where(F.col("base") + slack + F.col("extra") >= min_similarity).select("a", "b", "base")
 
     kind = F.array(F.col("_kind"))
-    reps = c.select("competitor", "pos", *attrs, *payload, F.explode(_class_keys(
+    reps = c.select("competitor", "pos", "_tokens", *attrs, *payload, F.explode(_class_keys(
         F.col("_brand"), F.col("_amount"), F.col("_base"), kind, F.col("_sku"))).alias("class"))
     reps = first_by(reps, ["competitor", "_name", "class"], [F.col("pos")],
-                    ["pos", "_brand", "_amount", "_base", "_kind", "_sku", *payload])
-    reps = reps.withColumnsRenamed({x: f"b{x}" for x in attrs}).withColumnsRenamed({x: f"b_{x}" for x in payload})
+                    ["pos", "_tokens", "_brand", "_amount", "_base", "_kind", "_sku", *payload])
+    reps = cut(reps.withColumnsRenamed({x: f"b{x}" for x in ["_tokens", *attrs]}).withColumnsRenamed({x: f"b_{x}" for x in payload}))
     wants = t.select(*attrs).distinct().select(*[F.col(x).alias(f"a{x}") for x in attrs])
+    want, found = [f"a{x}" for x in attrs], ["similarity", "pos", *[f"b_{x}" for x in payload]]
     kinds = F.array(*[F.lit(k) for k in UNIT_KINDS])
-    asked = wants.join(pairs, F.col("a_name") == F.col("a")).select(
-        *[f"a{x}" for x in attrs], "b", "base",
-        F.explode(_class_keys(F.col("a_brand"), F.col("a_amount"), F.col("a_base"), kinds, F.col("a_sku"))).alias("class"))
-    scored = asked.join(reps, (F.col("b") == F.col("b_name")) & (asked["class"] == reps["class"]))
+    classes = _class_keys(F.col("a_brand"), F.col("a_amount"), F.col("a_base"), kinds, F.col("a_sku"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + bonus("a", "b")))
-    scored = scored.withColumn("similarity", score).where(F.col("similarity") >= min_similarity)
-    b_cols = [f"b_{x}" for x in payload]
-    best = first_by(scored, [f"a{x}" for x in attrs] + ["competitor"],
-                    [-F.col("similarity"), F.col("pos")], ["similarity", "pos"] + b_cols)
+    pick = lambda scored: first_by(scored, [*want, "competitor"], [-F.col("similarity"), F.col("pos")], found)
 
-    rivals = catalogue.agg(F.collect_set("competitor"))  # the watched companies: a configured list
-    every = t.withColumn("competitor", F.explode(rivals.scalar()))
+    asked = wants.join(pairs, F.col("a_name") == F.col("a")).select(*want, "b", "base", F.explode(classes).alias("class"))
+    scored = asked.join(reps, (F.col("b") == F.col("b_name")) & (asked["class"] == reps["class"]))
+    best = cut(pick(scored.withColumn("similarity", score).where(F.col("similarity") >= min_similarity)))
+
+    stocked = catalogue.agg(F.collect_set("competitor"))  # the watched companies: a configured list
+    meets = [F.col(f"_{x}").eqNullSafe(F.col(x)) for x in want] + [F.col("competitor") == F.col("_competitor")]
+    settled = best.select(*[F.col(x).alias(f"_{x}") for x in want], F.col("competitor").alias("_competitor"))
+    still = cut(wants.withColumn("competitor", F.explode(stocked.scalar())).join(settled, meets, "left_anti"))
+    names = still.select(F.col("a_name").alias("a")).distinct().join(t_names.select(F.col("_name").alias("a"), F.col("_tokens").alias("ta")), "a")
+
+    # names that share a word
+    words = names.select("a", "ta", F.explode("ta").alias("w")).join(c_names.select(F.col("_name").alias("b"), F.col("_tokens").alias("tb"), F.explode("_tokens").alias("w")), "w")
+    near = words.drop("w").distinct().withColumn("_ratio", sequence_ratio("a", "b"))
+    near = near.select("a", "b", name_score(F.col("ta"), F.col("tb"), F.col("_ratio")).alias("base"))
+    asked = still.join(near, F.col("a_name") == F.col("a")).select(*want, F.col("competitor").alias("c"), "b", "base", F.explode(classes).alias("class"))
+    scored = asked.join(reps, (F.col("b") == F.col("b_name")) & (F.col("c") == F.col("competitor")) & (asked["class"] == reps["class"]))
+    worded = cut(pick(scored.withColumn("similarity", score)))
+
+    # names that share none: what the sequence and the class's attributes can add must reach the best so far
+    held = worded.select(*[F.col(x).alias(f"_{x}") for x in want], F.col("competitor").alias("_competitor"), F.col("similarity").alias("_best"))
+    search = still.join(held, meets, "left").drop(*held.columns[:-1]).join(names, F.col("a_name") == F.col("a")).drop("a")
+    search = search.withColumnRenamed("competitor", "c").withColumn("_best", F.coalesce("_best", F.lit(0.0))).select(
+        "*", F.inline(_with_bounds(F.col("a_brand"), F.col("a_amount"), F.col("a_base"), F.col("a_sku"))))
+    weight = F.when((F.size("ta") > 0) & (F.size("b_tokens") > 0), SEQUENCE_WEIGHT).otherwise(OVERLAP_WEIGHT + SEQUENCE_WEIGHT)
+    has_bare = c_names.agg(F.bool_or(F.size("_tokens") == 0)).scalar()
+    reach = F.when((F.size("ta") > 0) & ~F.coalesce(has_bare, F.lit(False)), SEQUENCE_WEIGHT).otherwise(OVERLAP_WEIGHT + SEQUENCE_WEIGHT)
+    slim = 1e-9
+    search = search.where(reach + F.col("most") >= F.col("_best") - slim)
+    met = search.join(reps, (F.col("c") == F.col("competitor")) & (search["class"] == reps["class"])).drop(reps["class"])
+    met = met.where(~F.arrays_overlap("ta", "b_tokens") & (
+        weight * ratio_ceiling(F.length("a_name"), F.length("b_name")) + F.col("most") >= F.col("_best") - slim))
+    met = cut(met)
+    ratios = met.select(F.col("a_name").alias("_an"), F.col("b_name").alias("_bn")).distinct().withColumn("_ratio", sequence_ratio("_an", "_bn"))
+    far = met.join(ratios, (F.col("a_name") == F.col("_an")) & (F.col("b_name") == F.col("_bn"))).withColumn("base", weight * F.col("_ratio"))
+    far = pick(far.withColumn("similarity", score))
+    best = best.unionByName(pick(worded.unionByName(far)))
+
+    listed = stocked if competitors is None else competitors.agg(F.collect_set("competitor"))
+    every = t.withColumn("competitor", F.explode(listed.scalar()))
     same = [every[x].eqNullSafe(best[f"a{x}"]) for x in attrs]
     joined = every.join(best, same + [every["competitor"] == best["competitor"]], "left").drop(best["competitor"])
-    return classify_matches(joined)
+    return classify_matches(joined, min_similarity)
 
 
-def classify_matches(joined: DataFrame) -> DataFrame:
-    """Comparison rows of targets with their best item (b_* columns, similarity; null when none)."""
+def classify_matches(joined: DataFrame, min_similarity: float = 0.72) -> DataFrame:
+    """Comparison rows of targets with their best item (b_* columns, similarity; null when the competitor has none)."""
     priced = (F.coalesce("price", F.lit(0.0)) != 0) & (F.coalesce("b_price", F.lit(0.0)) != 0)
-    gap = F.when(F.col("similarity").isNotNull() & priced, T.round_half_up((F.col("b_price") - F.col("price")) / F.col("price") * 100, 2))
+    gap = F.when((F.col("similarity") >= min_similarity) & priced, T.round_half_up((F.col("b_price") - F.col("price")) / F.col("price") * 100, 2))
     d = joined.withColumn("_gap", gap).withColumn("_wild", F.abs("_gap") > 300)
     fine = F.col("_gap").isNotNull() & ~F.col("_wild")
+    none = F.col("similarity").isNull()
     empty = F.lit("")
     return d.select(
         "target_id",
@@ -198,13 +257,13 @@ def classify_matches(joined: DataFrame) -> DataFrame:
         F.col("b_label").alias("competitor_product"),
         F.col("b_price").alias("competitor_price"), F.col("b_old_price").alias("competitor_old_price"),
         F.col("b_promotion").alias("competitor_promotion"),
-        F.round("similarity", 3).alias("similarity"),
+        F.round(F.coalesce("similarity", F.lit(0.0)), 3).alias("similarity"),
         F.when(fine, F.col("_gap")).alias("gap_percent"),
         F.when(fine & (F.col("b_price") < F.col("price")), "concorrente")
         .when(fine & (F.col("price") < F.col("b_price")), "alvo")
-        .when(fine, "igual").otherwise("não comparável").alias("cheaper"),
+        .when(fine, "igual").when(none, "não encontrado").otherwise("não comparável").alias("cheaper"),
         F.when(fine & (F.col("similarity") >= 0.90), "confirmado").when(fine, "provavel")
-        .when(F.col("_wild"), "revisao_necessaria").otherwise("nao_comparavel").alias("match_class"),
+        .when(F.col("_wild"), "revisao_necessaria").when(none, "nao_encontrado").otherwise("nao_comparavel").alias("match_class"),
         F.when(fine & (F.col("similarity") >= 0.88), "alta").when(fine, "media").otherwise("baixa").alias("match_confidence"),
         F.col("url").alias("target_url"), F.col("b_url").alias("competitor_url"),
         F.substring(F.sha1(T.normalise(F.concat_ws(

