@@ -178,6 +178,8 @@ def test_gold_metrics(spark):
 def test_percentiles_and_gates(spark):
     lat = spark.createDataFrame([(float(x),) for x in (10, 12, 15, 20, 25, 30, 50)], "x double")
     assert tuple(lat.agg(*Q.latency_summary(F.col("x"))).first()) == (20.0, 44.0, 48.8, 50.0)
+    assert tuple(Q.latencies(lat, "x").first()) == (20.0, 44.0, 48.8, 50.0)
+    assert tuple(Q.latencies(lat.where("x < 0"), "x").first()) == (0.0, 0.0, 0.0, 0.0)
     item = [("d", 1, "Café Pilão", 1.0, "")]
     same = spark.createDataFrame(item, ITEM)
     times = spark.createDataFrame([("d", 1.0, 2.0, False)], "doc_id string, old_ms double, new_ms double, crashed boolean")
@@ -193,3 +195,28 @@ def test_table_checks(spark):
     a = spark.range(5)
     assert Q.same_table(a, a.repartition(3)) and not Q.same_table(a, spark.range(4))
     assert Q.table_digest(a).first() == Q.table_digest(a.repartition(3)).first()
+
+
+def test_ranked_percentiles(spark):
+    """Against a sorted list; a third of all rows share one value, and one key is null."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, rng.random(), rng.randint(1, 40) / 2, None])) for _ in range(900)] + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    shares = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+
+    def want(xs):
+        xs = sorted(xs)
+        out = []
+        for p in shares:
+            at = (len(xs) - 1) * p
+            lo, hi = int(at), min(int(at) + 1, len(xs) - 1)
+            out.append(xs[lo] + (xs[hi] - xs[lo]) * (at - lo))
+        return out
+
+    got = {r["k"]: r for r in Q.ranked_percentiles(df, "x", shares, ("k",)).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k, r in got.items():
+        xs = [x for q, x in rows if q == k and x is not None]
+        assert r["n"] == len(xs) and r["largest"] == max(xs) and r["percentiles"] == pytest.approx(want(xs))
+    every = Q.ranked_percentiles(df, "x", shares).first()
+    assert every["percentiles"] == pytest.approx(want([x for _, x in rows if x is not None]))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
 from .diff import class_counts, item_totals
 
 QUALITY = ("fp_generic", "fn_generic", "price_divergence", "unit_divergence", "duplicate", "unresolved", "name_improvement")
@@ -20,17 +21,63 @@ def latency_summary(c: Column, prefix: str = "") -> list[Column]:
     return out + [F.coalesce(T.round_half_up(F.max(c), 2), F.lit(0.0)).alias(f"{prefix}max")]
 
 
+def ranked_percentiles(df: DataFrame, value: str, shares: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, largest, percentiles): interpolated percentiles of ``value`` by rank, exact for any number of rows.
+
+    Equal values are counted first, distinct ones are dealt by range and each
+    partition adds up its counts; a wanted rank is then a look-up of the value at
+    which the running count passes it. No task holds more than one range of values.
+    """
+    names = list(keys)
+    tally = df.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = [*names, "_v"]
+    dealt = cut(tally.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*names, "_part").agg(F.sum("_n").alias("_sum"))
+    # a row per partition and key
+    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_p")
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy(*names, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = dealt.withColumn("_inner", F.sum("_n").over(inside)).join(starts, same).withColumn("_upto", F.col("_start") + F.col("_inner"))
+    totals = tally.groupBy(*names).agg(F.sum("_n").alias("n"), F.max("_v").alias("largest"))
+    wanted = totals.select(*[F.col(k).alias(f"_t_{k}") for k in names], "n", "largest", *[((F.col("n") - 1) * float(p)).alias(f"_r{i}") for i, p in enumerate(shares)])
+    on = F.lit(True)
+    for k in names:
+        on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    met = run.join(F.broadcast(wanted), on) if not names else run.join(wanted, on)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    found = met.groupBy(*names).agg(
+        F.first("n").alias("n"), F.first("largest").alias("largest"),
+        *[x for i in range(len(shares)) for x in (F.first(f"_r{i}").alias(f"_r{i}"), at(F.floor(f"_r{i}")).alias(f"_lo{i}"), at(F.ceil(f"_r{i}")).alias(f"_hi{i}"))])
+    between = lambda i: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (F.col(f"_r{i}") - F.floor(f"_r{i}"))
+    return found.select(*names, "n", "largest", F.array(*[between(i) for i in range(len(shares))]).alias("percentiles"))
+
+
+def latencies(df: DataFrame, value: str, prefix: str = "", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Percentiles 50, 95 and 99 and the maximum of a latency per key, two decimals; one row of zeros without data and keys."""
+    r = ranked_percentiles(df, value, [0.50, 0.95, 0.99], keys)
+    two = lambda c: F.coalesce(T.round_half_up(c, 2), F.lit(0.0))
+    names = [f"{prefix}{x}" for x in ("p50", "p95", "p99", "max")]
+    if not keys:  # no data still gives a row
+        r = r.agg(F.first("percentiles").alias("percentiles"), F.first("largest").alias("largest"))
+    values = [F.col("percentiles")[i] for i in range(3)] + [F.col("largest")]
+    return r.select(*keys, *[two(v).alias(n) for v, n in zip(values, names)])
+
+
 def operational_summary(log: DataFrame, run_id: str | None = None) -> DataFrame:
     """One row over the observation log: rows, documents, items, failures, quality sums, latency."""
     if run_id is not None:
         log = log.where(F.col("run_id") == run_id)
     total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0))
-    return log.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.countDistinct(F.nullif("document_hash", F.lit(""))).alias("documents"),
-        total("items").alias("items"), total("crashes").alias("crashes"), total("exceptions").alias("errors"),
-        *[total(q).alias(q) for q in QUALITY], *latency_summary(F.col("latency_ms")),
-    )
+    counts = log.agg(
+        F.count(F.lit(1)).alias("records"), total("items").alias("items"), total("crashes").alias("crashes"), total("exceptions").alias("errors"),
+        *[total(q).alias(q) for q in QUALITY])
+    documents = log.where(F.nullif("document_hash", F.lit("")).isNotNull()).groupBy("document_hash").agg(F.lit(1).alias("one")).agg(F.count("one").alias("documents"))
+    one = lambda df, c: df.select(c).scalar().alias(c)
+    times = cut(latencies(log, "latency_ms"))
+    return counts.select("records", one(documents, "documents"), "items", "crashes", "errors", *QUALITY, *[one(times, c) for c in ("p50", "p95", "p99", "max")])
 
 
 def latest_observations(log: DataFrame) -> DataFrame:
@@ -48,9 +95,10 @@ def gate_totals(comparison: DataFrame, old: DataFrame, new: DataFrame, timings:
     counts = class_counts(comparison).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS if c != "duplicate"])
     items = item_totals(old, new).agg(F.coalesce(F.sum("total_old"), F.lit(0)).alias("old_items"), F.coalesce(F.sum("total_new"), F.lit(0)).alias("new_items"))
     ran = F.when(~F.col("crashed"), F.lit(True))
-    docs = timings.agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if("crashed").alias("crashes"),
-        *latency_summary(F.when(ran, F.col("old_ms")), "old_"), *latency_summary(F.when(ran, F.col("new_ms")), "new_"))
+    docs = timings.agg(F.count(F.lit(1)).alias("documents"), F.count_if("crashed").alias("crashes"))
+    for side in ("old", "new"):
+        times = cut(latencies(timings.withColumn("_ms", F.when(ran, F.col(f"{side}_ms"))), "_ms", f"{side}_"))
+        docs = docs.select("*", *[times.select(c).scalar().alias(c) for c in times.columns])
     doubles = F.lit(0).alias("duplicate")
     if repeats is not None:
         doubles = repeats.agg(F.coalesce(F.sum("duplicate"), F.lit(0)).alias("d")).scalar().alias("duplicate")

@@ -203,7 +203,7 @@ def _timings(spark, sf):
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _timings(spark, sf).groupBy("crashed").agg(*Q.latency_summary(F.col("new_ms"), "new_"))
+    return Q.latencies(_timings(spark, sf), "new_ms", "new_", ("crashed",))
 
 
 def gates(spark: SparkSession, sf: str) -> DataFrame:
