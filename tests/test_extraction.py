@@ -220,3 +220,33 @@ def test_ranked_percentiles(spark):
         assert r["n"] == len(xs) and r["largest"] == max(xs) and r["percentiles"] == pytest.approx(want(xs))
     every = Q.ranked_percentiles(df, "x", shares).first()
     assert every["percentiles"] == pytest.approx(want([x for _, x in rows if x is not None]))
+
+
+def test_gold_errors_follow_the_scan(spark):
+    """Row by row against a sequential reckoning; a third of all values are equal."""
+    rng = random.Random(11)
+    value = lambda: rng.choice(["5.00", f"{rng.randint(100, 112) / 100:.2f}", f"{rng.randint(900, 960) / 100:.2f}", "x", " X", None])
+    make = lambda n: [(rng.choice("ab"), i, rng.choice(["p", "q"]), value()) for i in range(n)]
+    ext, gold = make(160), make(120)
+
+    def agree(a, b):
+        try:
+            return abs(float(a) - float(b)) <= 0.02
+        except (TypeError, ValueError):
+            return (a or "").strip().lower() == (b or "").strip().lower()
+
+    used, want = set(), []
+    for s, i, e, v in ext:
+        near = [r for r in gold if r[0] == s and r[2] == e and agree(v, r[3])]
+        free = [r for r in near if (r[0], r[1]) not in used]
+        if free:
+            used.add((s, free[0][1]))
+            want.append((s, e, "acerto", i, free[0][1]))
+        else:
+            want.append((s, e, "duplicacao" if near else "falso_positivo", i, near[-1][1] if near else None))
+    want += [(s, e, "falso_negativo", None, i) for s, i, e, _ in gold if (s, i) not in used]
+    cols = "doc string, pos long, entity string, value string"
+    got = X.match_gold(spark.createDataFrame(ext, cols), spark.createDataFrame(gold, cols), scope="doc")
+    assert sorted(map(str, map(tuple, got.select("scope", "entity", "outcome", "e_pos", "g_pos").collect()))) == sorted(map(str, want))
+    assert {r["outcome"] for r in got.collect()} == {"acerto", "duplicacao", "falso_positivo", "falso_negativo"}
+    assert X.gold_errors(got).count() == len(want) - sum(w[2] == "acerto" for w in want)

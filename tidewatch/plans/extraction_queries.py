@@ -9,7 +9,7 @@ from ..operators import anchors as A, diff as X, flyer as Y, gates as Q, spatial
 from ..sources import exports, history as H, landing as L
 from ..streaming import feeds
 from . import inputs as I
-from .lineage import cut, shared_folder
+from .lineage import cut, numbered, shared_folder
 
 R = lambda x, n: f"round(CAST({x} AS DECIMAL(28,8)), {n})::DOUBLE"
 
@@ -177,18 +177,30 @@ def repeated_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark, sf):
-    """Labels as gold, document statistics as the extractor."""
-    gold = I.table(spark, sf, "labels").select(F.col("doc_id").alias("pos"), F.lit("quality").alias("entity"), F.col("quality").cast("string").alias("value"), (F.col("doc_id") % 10).alias("part"))
-    docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.lit("quality").alias("entity"),
-                                                   F.when(F.col("n_chars") > 1500, "1").when(F.col("n_chars") < 200, "junk").otherwise("0").alias("value"), (F.col("doc_id") % 10).alias("part"))
-    return docs, gold
+    """Prices of an order's items as labels; the extractor reads some a few cents off, misses some and sees some twice."""
+    li = I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    j = li.join(I.table(spark, sf, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")]
+    price = T.round_half_up(F.col("l_extendedprice") / F.col("l_quantity") % 3, 2)
+    j = numbered(j.select("*", F.col("l_orderkey").alias("doc_id"), price.alias("price")), order, "pos")
+    value = lambda c: T.round_half_up(c, 2).cast("string")
+    gold = j.where(F.col("l_returnflag") != "R").select("doc_id", (F.col("pos") * 2).alias("pos"), F.col("p_type").alias("entity"), value(F.col("price")).alias("value"))
+    cents = (F.col("l_quantity").cast("int") % 4) * 0.01
+    read = j.where(F.col("l_tax") < 0.08).select("doc_id", (F.col("pos") * 2).alias("pos"), F.col("p_type").alias("entity"), value(F.col("price") + cents).alias("value"))
+    twice = j.where(F.col("l_discount") >= 0.09).select("doc_id", (F.col("pos") * 2 + 1).alias("pos"), F.col("p_type").alias("entity"), value(F.col("price")).alias("value"))
+    return read.unionByName(twice), gold
 
 
 def gold_eval(spark: SparkSession, sf: str) -> DataFrame:
-    m = X.gold_metrics(X.evaluate_gold(*_gold(spark, sf), scope="part"))
+    m = X.gold_metrics(X.evaluate_gold(*_gold(spark, sf), scope="doc_id"))
     return m.select("scope", "true_positive", "false_positive", "false_negative", "duplicated", *[T.round_half_up(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1", "duplicate_rate")])
 
 
+def gold_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every error of the same comparison, with the found value's and the label's place."""
+    return X.gold_errors(X.match_gold(*_gold(spark, sf), scope="doc_id"))
+
+
 def ops_summary(spark: SparkSession, sf: str) -> DataFrame:
     return Q.operational_summary(I.observation_log(spark, sf))
 
@@ -306,7 +318,7 @@ QUERIES = {f.__name__: f for f in (
     anchors_court_case, anchors_percentage, anchors_salary, anchors_tax_id, anchors_date, anchors_measurement, anchors_currency, anchors_in_prose,
     zone_filter, reading_order, fragment_merge, letter_runs, token_regions, unassigned_tokens, leftover_region, region_boxes, sequential_regions,
     generic_entities, flyer_products, flyer_metrics, flyer_price_items, ocr_scan, card_scan, extractor_diff, diff_counts, shadow_report, divergences,
-    item_totals, repeated_items, gold_eval, ops_summary, latest_observations, latency_percentiles, gates, gate_decision, table_digest, history_round_trip,
+    item_totals, repeated_items, gold_eval, gold_errors, ops_summary, latest_observations, latency_percentiles, gates, gate_decision, table_digest, history_round_trip,
     price_change_stream, price_change_replay, ops_stream, ops_by_day, source_export, card_export)}
 
 NUM = "CAST(NULL AS DOUBLE)"
@@ -357,6 +369,24 @@ j AS (SELECT g.doc_id, g.pos AS token_id, anchor_no, sqrt(power(abs(cx - ax) * 1
 near AS (SELECT doc_id, token_id, arg_min(anchor_no, round(distance, 6) * 100000 + anchor_no / 1000000.0) AS anchor_no, min(distance) AS distance FROM j GROUP BY 1, 2)"""
 FREE = "(SELECT g.doc_id, g.pos AS token_id FROM g WHERE length(text) < 12 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.doc_id = g.doc_id AND n.token_id = g.pos))"
 
+GOLD_SQL = """WITH RECURSIVE j AS (SELECT l.*, CAST(l_orderkey AS VARCHAR) AS scope, p_type AS entity, round(CAST(l_extendedprice / l_quantity % 3 AS DECIMAL(28, 8)), 2)::DOUBLE AS price,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS n FROM lineitem l JOIN part ON p_partkey = l_partkey),
+g AS (SELECT scope, entity, n * 2 AS pos, price AS v FROM j WHERE l_returnflag <> 'R'),
+f AS (SELECT scope, entity, n * 2 AS pos, round(CAST(price + (CAST(l_quantity AS INTEGER) % 4) * 0.01::DOUBLE AS DECIMAL(28, 8)), 2)::DOUBLE AS v FROM j WHERE l_tax < 0.08
+  UNION ALL SELECT scope, entity, n * 2 + 1, price FROM j WHERE l_discount >= 0.09),
+e AS (SELECT *, row_number() OVER (PARTITION BY scope, entity ORDER BY pos) AS k FROM f),
+labels AS (SELECT scope, entity, list({'p': pos, 'v': v} ORDER BY pos) AS all_g FROM g GROUP BY 1, 2),
+scan(scope, entity, k, used, e_pos, g_pos, near) AS (
+  SELECT DISTINCT scope, entity, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM e
+  UNION ALL
+  SELECT scope, entity, k, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, pos, hit, near FROM (
+    SELECT s.scope, s.entity, e.k, s.used, e.pos, list_filter(all_g, lambda x: abs(x.v - e.v) <= 0.02::DOUBLE AND NOT list_contains(s.used, x.p))[1].p AS hit,
+      list_filter(all_g, lambda x: abs(x.v - e.v) <= 0.02::DOUBLE)[-1].p AS near
+    FROM scan s JOIN e ON e.scope = s.scope AND e.entity = s.entity AND e.k = s.k + 1 LEFT JOIN labels l ON l.scope = s.scope AND l.entity = s.entity)),
+matched AS (
+  SELECT scope, entity, CASE WHEN g_pos IS NOT NULL THEN 'acerto' WHEN near IS NOT NULL THEN 'duplicacao' ELSE 'falso_positivo' END AS outcome, e_pos, coalesce(g_pos, near) AS g_pos FROM scan WHERE k > 0
+  UNION ALL SELECT scope, entity, 'falso_negativo', NULL, pos FROM g WHERE NOT EXISTS (SELECT 1 FROM scan s WHERE s.scope = g.scope AND s.entity = g.entity AND s.g_pos = g.pos))"""
+
 ORACLES = {
     "anchors_court_case": REC(f"regexp_matches(text, '{CASE_RE}')", "LEGAL_PROCESS", NUM, f"regexp_extract(text, '{CASE_RE}', 1)", "'PROCESSO_CNJ'", "0.9", "temporal_code"),
     "anchors_percentage": REC(f"regexp_matches(text, '{PCT_RE}')", "PERCENTAGE", R(f"CAST(replace(regexp_extract(text, '{PCT_RE}', 1), ',', '.') AS DOUBLE)", 2), TXT, "'PERCENT'", "0.85", "bare_decimal"),
@@ -392,12 +422,12 @@ SELECT doc_id, pos + 1 AS token_id, least((k - 1) // greatest(1, m // n), n - 1)
  count(*) * 5 - 1 AS last_pos FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey""",
     "card_scan": f"WITH {ITEMS_SQL} SELECT doc_id, name || ' ' || unit AS name, price, 'in_stock' AS availability, 0.8::DOUBLE AS price_confidence FROM olds",
     "item_totals": f"WITH {ITEMS_SQL} SELECT doc_id, CAST(sum(o) AS BIGINT) AS total_old, CAST(sum(n) AS BIGINT) AS total_new FROM (SELECT doc_id, 1 AS o, 0 AS n FROM olds UNION ALL SELECT doc_id, 0, 1 FROM news) GROUP BY 1",
-    "gold_eval": f"""WITH b AS (SELECT doc_id % 10 AS scope, CASE WHEN n_chars > 1500 THEN '1' WHEN n_chars < 200 THEN 'junk' ELSE '0' END AS v, 1 AS e, 0 AS g FROM documents UNION ALL SELECT doc_id % 10, CAST(quality AS VARCHAR), 0, 1 FROM labels),
-t AS (SELECT scope, v, sum(e) AS e, sum(g) AS g FROM b GROUP BY 1, 2), c AS (SELECT CAST(scope AS VARCHAR) AS scope, sum(least(e, g)) AS tp, sum(CASE WHEN g = 0 THEN e ELSE 0 END) AS fp, sum(greatest(0, g - e)) AS fn,
-  sum(CASE WHEN g > 0 THEN greatest(0, e - g) ELSE 0 END) AS d FROM t GROUP BY 1),
+    "gold_eval": GOLD_SQL + f""", c AS (SELECT scope, count(*) FILTER (outcome = 'acerto') AS tp, count(*) FILTER (outcome = 'falso_positivo') AS fp, count(*) FILTER (outcome = 'falso_negativo') AS fn,
+  count(*) FILTER (outcome = 'duplicacao') AS d FROM matched GROUP BY 1),
 m AS (SELECT *, tp / greatest(1, tp + fp)::DOUBLE AS p, tp / greatest(1, tp + fn)::DOUBLE AS r, d / greatest(1, tp + fp + d)::DOUBLE AS dr FROM c)
-SELECT scope, CAST(tp AS BIGINT) AS true_positive, CAST(fp AS BIGINT) AS false_positive, CAST(fn AS BIGINT) AS false_negative, CAST(d AS BIGINT) AS duplicated, {R('p', 6)} AS precision, {R('r', 6)} AS recall,
+SELECT scope, tp AS true_positive, fp AS false_positive, fn AS false_negative, d AS duplicated, {R('p', 6)} AS precision, {R('r', 6)} AS recall,
  {R('CASE WHEN p + r > 0 THEN 2 * p * r / greatest(0.0001::DOUBLE, p + r) ELSE 0 END', 6)} AS f1, {R('dr', 6)} AS duplicate_rate FROM m""",
+    "gold_errors": GOLD_SQL + " SELECT scope, entity, outcome, e_pos, g_pos FROM matched WHERE outcome <> 'acerto'",
     "ops_summary": f"""WITH {I.LOG_SQL} SELECT count(*) AS records, count(DISTINCT document_hash) AS documents, CAST(sum(items) AS BIGINT) AS items, CAST(sum(crashes) AS BIGINT) AS crashes, CAST(sum(exceptions) AS BIGINT) AS errors,
  {SUMS}, {LAT('latency_ms')} FROM log""",
     "latest_observations": f"WITH {I.LOG_SQL} SELECT document_hash, max(pos) AS pos, arg_max(run_id, pos) AS run_id, arg_max(items, pos) AS items, arg_max(latency_ms, pos) AS latency_ms FROM log GROUP BY 1",
