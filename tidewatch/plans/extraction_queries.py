@@ -244,17 +244,20 @@ def history_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         "entity", "product_key", "previous_price", "current_price", T.round_half_up(F.col("change_pct"), 2).alias("change_pct"), "promotion_now")
 
 
-def _run_stream(spark: SparkSession, stream: DataFrame, schema_of: DataFrame) -> DataFrame:
-    """Run a stream over what has landed and read what it wrote."""
+def _run_stream(spark: SparkSession, rows: DataFrame, feed) -> DataFrame:
+    """Run ``feed`` over what has landed, close it, and read what it wrote."""
     out = shared_folder(spark)
+    stream = feed(feeds.closing(rows, f"{out}/end"))
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKSDB)
     try:
-        q = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for last in (False, True):
+            if last:
+                feeds.close(spark, f"{out}/end")
+            stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    return spark.read.schema(schema_of.schema).parquet(f"{out}/data")
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
 def _price_points(events: DataFrame) -> DataFrame:
@@ -269,8 +272,8 @@ def _landed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price_change_stream(spark: SparkSession, sf: str) -> DataFrame:
-    feed = feeds.price_change_feed(_price_points(_landed_events(spark, sf)))
-    return _run_stream(spark, feed, feed).withColumns({"change_pct": T.round_half_up(F.col("change_pct"), 2), "seen_at": F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss")})
+    return _run_stream(spark, _price_points(_landed_events(spark, sf)), feeds.price_change_feed).withColumns(
+        {"change_pct": T.round_half_up(F.col("change_pct"), 2), "seen_at": F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss")})
 
 
 def price_change_replay(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,14 +285,13 @@ def price_change_replay(spark: SparkSession, sf: str) -> DataFrame:
 def _operations(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return events.select(
-        F.col("ts").cast("timestamp").alias("seen_at"), F.sha1(F.col("event_id").cast("string")).alias("document_hash"), k.alias("items"),
+        F.col("ts").cast("timestamp").alias("seen_at"), F.concat_ws("-", (F.col("user_id") % 20).cast("string"), k.cast("string")).alias("document_hash"), k.alias("items"),
         (F.col("event_type") == "error").cast("long").alias("crashes"), (F.col("event_type") == "signup").cast("long").alias("exceptions"), F.col("value").alias("latency_ms"))
 
 
 def ops_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily metrics of a stream; days the watermark has not closed are still open."""
-    feed = feeds.operations_feed(_operations(_landed_events(spark, sf)))
-    return _run_stream(spark, feed, feed).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    """Daily metrics of a stream, every day closed."""
+    return _run_stream(spark, _operations(_landed_events(spark, sf)), feeds.operations_feed).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 def ops_by_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -441,5 +443,8 @@ l AS (SELECT *, lag(price) OVER w AS pp, lag(promotion) OVER w AS pb FROM p WIND
 SELECT entity, source_domain, product_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at, pp AS previous_price, price AS current_price, {R('pct', 2)} AS change_pct, pb AS promotion_before, promotion AS promotion_now
 FROM c WHERE pct IS NOT NULL AND (abs(pct) >= 0.5 OR pb <> promotion)"""
 ORACLES["price_change_stream"] = ORACLES["price_change_replay"] = _FEED
-ORACLES["ops_by_day"] = f"""WITH {I.LOG_SQL} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) AS documents, CAST(sum(items) AS BIGINT) AS items, CAST(sum(crashes) AS BIGINT) AS crashes,
- CAST(sum(exceptions) AS BIGINT) AS exceptions, {LAT('latency_ms')} FROM log GROUP BY 1"""
+ORACLES["ops_stream"] = ORACLES["ops_by_day"] = f"""WITH {I.LOG_SQL}, d AS (SELECT (event_id_user % 20) || '-' || items AS hash, date_trunc('day', ts) AS day, * FROM (
+  SELECT l.*, CAST(split_part(document_hash, '-', 1) AS BIGINT) AS event_id_user FROM log l)),
+f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY day, hash ORDER BY ts, items, crashes, exceptions, latency_ms) = 1)
+SELECT strftime(day, '%Y-%m-%d') AS window_start, count(*) AS documents, CAST(sum(items) AS BIGINT) AS items, CAST(sum(crashes) AS BIGINT) AS crashes,
+ CAST(sum(exceptions) AS BIGINT) AS exceptions, {LAT('latency_ms')} FROM f GROUP BY day"""
