@@ -93,6 +93,65 @@ def test_products_of_pages(spark):
     assert got[(2, "Feijão Carioca Camil 1kg")]["price"] == 8.49 and got[(4, "Item B")]["price"] == 20.0
 
 
+def test_offers_of_any_depth(spark):
+    """Against a recursion over the objects themselves."""
+    import json
+    rng = random.Random(3)
+    keys = ["price", "lowPrice", "salePrice", "value"]
+
+    def thing(depth):
+        o = {k: rng.choice(["0", "x", None, 0, "7,50", 12.5, -3]) for k in rng.sample(keys, rng.randint(0, 2))}
+        if depth and rng.random() < 0.9:
+            inner = lambda: rng.choice([thing(depth - 1), thing(depth - 1), "3,20", 0, None])
+            o["offers"] = [inner() for _ in range(rng.randint(0, 3))] if rng.random() < 0.5 else {
+                k: inner() for k in rng.sample(["price", "lowPrice", "priceSpecification"], rng.randint(0, 3))}
+        return o
+
+    def money(x):
+        if isinstance(x, str):
+            x = x.replace(",", ".")
+        try:
+            return float(x)
+        except (TypeError, ValueError):
+            return 0.0
+
+    def price(o):
+        for k in D.PRICE_KEYS:
+            if money(o.get(k)) > 0:
+                return money(o[k])
+        offers = o.get("offers")
+        parts = [offers.get(k) for k in D.OFFER_KEYS] if isinstance(offers, dict) else [x for x in offers or [] if isinstance(x, dict)]
+        for x in parts:
+            p = price(x) if isinstance(x, dict) else money(x)
+            if p and p > 0:
+                return p
+        return None
+
+    deep = {"price": "4,00"}
+    for i in range(9):
+        deep = {"offers": [{"price": "0"}, deep]} if i % 2 else {"offers": {"priceSpecification": deep}}
+    objects = [deep, *(thing(6) for _ in range(150))]
+    df = spark.createDataFrame([(i, json.dumps(o)) for i, o in enumerate(objects)], "page_id long, j string").select(
+        "page_id", F.array(F.lit(0)).alias("visit"), F.parse_json("j").alias("obj"))
+    got = {r["page_id"]: r["price"] for r in D.with_price(df).select("page_id", "price").collect()}
+    assert got == {i: p for i, o in enumerate(objects) if (p := price(o)) is not None}
+    assert got[0] == 4.0 and len(got) > 50
+
+
+def test_priced_text_in_linear_time():
+    import time
+    from tidewatch.functions.markup import _price_contexts
+
+    card = '<div><a href="/p">Item {0}</a><b>R$ {0},00</b> comprar <a>more</a></div>'
+    got = _price_contexts("<p>R$ 1,00</p><script>R$ 3</script><ul><li>" + card.format(7) + "</li></ul><br>tail <a><i>R$ 2,00")
+    assert got[0] == {"context": "R$ 1,00 Item 7 R$ 7,00 comprar more tail R$ 2,00", "links": ["Item 7", "more", "R$ 2,00"]}
+    assert {"context": "Item 7 R$ 7,00 comprar more", "links": ["Item 7", "more"]} in got
+    start = time.time()
+    assert len(_price_contexts("".join(f"<section>{card.format(i)}</section>" for i in range(100_000)))) == 100_000
+    assert len(_price_contexts("<u>" * 20_000 + "</b>" * 100_000 + "R$ 5,00")) == 1
+    assert time.time() - start < 30
+
+
 def test_price_war_median_is_the_upper_one(spark):
     df = spark.createDataFrame([("c", i, g, "alvo", False, False) for i, g in enumerate([1.0, -9.0, 3.0, 4.0])],
                                "competitor string, target_id long, gap_percent double, cheaper string, target_promotion boolean, competitor_promotion boolean")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,61 +18,65 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class _Tree(HTMLParser):
-    """Element nesting of one page: parents, and the text and anchors below each element."""
+    """A page's elements in the order they open, each with the range of elements and of texts inside it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.name, self.texts, self.open = [-1], ["#"], [], [0]
+        self.parent, self.last, self.first_text, self.end_text = [-1], [0], [0], [0]
+        self.texts, self.owner, self.priced, self.anchors = [], [], [], []
+        self.open, self.names = [(0, "#")], Counter()
 
     def handle_starttag(self, tag, attrs):
-        self.parent.append(self.open[-1])
-        self.name.append(tag)
+        node = len(self.parent)
+        self.parent.append(self.open[-1][0])
+        self.last.append(node)
+        self.first_text.append(len(self.texts))
+        self.end_text.append(len(self.texts))
+        if tag == "a":
+            self.anchors.append(node)
         if tag not in _VOID:
-            self.open.append(len(self.name) - 1)
+            self.open.append((node, tag))
+            self.names[tag] += 1
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.name[self.open[depth]] == tag:
-                del self.open[depth:]
+        while self.names[tag]:  # an end tag without a start closes nothing
+            if self._leave() == tag:
                 return
 
+    def _leave(self) -> str:
+        node, tag = self.open.pop()
+        self.names[tag] -= 1
+        self.last[node], self.end_text[node] = len(self.parent) - 1, len(self.texts)
+        return tag
+
     def handle_data(self, data):
-        if self.name[self.open[-1]] not in ("script", "style", "template"):
-            self.texts.append((self.open[-1], data))
+        node, tag = self.open[-1]
+        if tag in ("script", "style", "template"):
+            return
+        if _MONEY.search(data):
+            self.priced.append(node)
+        if data.strip():
+            self.texts.append(data.strip())
 
-    def inside(self, node: int, top: int) -> bool:
-        while node != top and node > 0:
-            node = self.parent[node]
-        return node == top
+    def done(self) -> None:
+        self.close()
+        while self.open:
+            self._leave()
 
 
 def _price_contexts(html: str) -> list[dict]:
     tree = _Tree()
     tree.feed(html)
-    tree.close()
+    tree.done()
+    inside = lambda node: " ".join(tree.texts[tree.first_text[node]:tree.end_text[node]])
     seen, out = set(), []
-    for node, text in tree.texts:
-        if not _MONEY.search(text):
-            continue
-        top = node
-        for _ in range(2):
-            top = max(tree.parent[top], 0)
+    for node in tree.priced:
+        top = max(tree.parent[max(tree.parent[node], 0)], 0)
         if top in seen:
             continue
         seen.add(top)
-        words, anchors = [], {}
-        for at, piece in tree.texts:
-            piece = piece.strip()
-            if not piece or not tree.inside(at, top):
-                continue
-            words.append(piece)
-            up = at
-            while up > top:
-                if tree.name[up] == "a":
-                    anchors.setdefault(up, []).append(piece)
-                up = tree.parent[up]
-        links = [" ".join(anchors[a]) for a in sorted(anchors)]
-        out.append({"context": " ".join(words), "links": links})
+        links = tree.anchors[bisect_right(tree.anchors, top):bisect_right(tree.anchors, tree.last[top])]
+        out.append({"context": inside(top), "links": [x for x in map(inside, links) if x]})
     return out
 
 

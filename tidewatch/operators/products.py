@@ -14,6 +14,7 @@ from .pages import COMMERCIAL_TYPES, page_title, strip_tags, typed_pages
 
 # Object keys read for each field, in order.
 PRICE_KEYS = ("price", "lowPrice", "salePrice", "sellingPrice", "bestPrice", "currentPrice", "value")
+OFFER_KEYS = ("price", "lowPrice", "priceSpecification")
 OLD_PRICE_KEYS = ("oldPrice", "listPrice", "compareAtPrice", "originalPrice")
 NAME_KEYS = ("name", "productName", "title")
 UNIT_KEYS = ("unit", "size", "quantity")
@@ -25,7 +26,9 @@ ITEM_COLUMNS = [
     "source", "role", "name", "url", "price", "old_price", "promotion", "brand", "unit", "sku",
     "location_note", "evidence_url", "page_type", "price_confidence",
 ]
-INLINE_PRODUCT = r"(?is)(\{.{0,5000}?(?:price|salePrice|sellingPrice).{0,5000}?\})"
+# How far an inline object reaches on either side of a price key, and how much of a page's text tells its type.
+INLINE_REACH, JUDGED_TEXT = 5000, 7000
+INLINE_PRODUCT = rf"(?is)(\{{.{{0,{INLINE_REACH}}}?(?:price|salePrice|sellingPrice).{{0,{INLINE_REACH}}}?\}})"
 
 
 def plausible_price(name: Column, price: Column, context: Column) -> Column:
@@ -62,22 +65,36 @@ def first_positive(texts: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(plain, T.parse_money), lambda p: p > 0), F.lit(1))
 
 
-def price_texts(v: Column, depth: int = 2) -> Column:
-    """Texts that may hold an object's price, in order: own keys, the offer, the offers of a list."""
-    own = F.array(*[_get(v, k) for k in PRICE_KEYS])
-    if not depth:
-        return own
-    offer = _get(v, "offers", "variant")
-    parts = [own]
-    for key in ("price", "lowPrice", "priceSpecification"):
-        parts += [F.array(_get(offer, key)), price_texts(_get(offer, key, "variant"), 0)]
-    listed = F.flatten(F.transform(_get(v, "offers", "array<variant>"), lambda o: price_texts(o, depth - 1)))
-    return F.concat(*parts, F.coalesce(listed, F.array().cast("array<string>")))
+def with_price(objects: DataFrame, obj: str = "obj") -> DataFrame:
+    """Add ``price`` to objects (page_id, visit, ...): the first amount above zero among the object's own keys, then
+    in its offer's price, lowPrice and priceSpecification, then in the offers of a list, and so on inwards.
 
-
-def price_of(v: Column) -> Column:
-    """Price of an object."""
-    return first_positive(price_texts(v))
+    Each level of nested offers is written and starts from the one above, for
+    the objects whose own keys hold no price; ``_key`` keeps the order of the walk.
+    """
+    key = ["page_id", "visit"]
+    level = cut(objects.select(*key, F.array().cast("array<int>").alias("_key"), F.col(obj).alias("_o")))
+    found = []
+    while True:
+        at = lambda *steps: F.concat("_key", F.array(*[x if isinstance(x, Column) else F.lit(x) for x in steps]).cast("array<int>"))
+        own = level.withColumn("price", first_positive(F.array(*[_get(F.col("_o"), k) for k in PRICE_KEYS])))
+        found.append(own.where(F.col("price").isNotNull()).select(*key, at(0).alias("_key"), "price"))
+        offers = own.where(F.col("price").isNull()).select(*key, "_key", _get(F.col("_o"), "offers", "variant").alias("_offers")).where(F.col("_offers").isNotNull())
+        is_object = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT<")
+        inner = F.filter(F.array(*[F.struct(at(1, i).alias("_key"), _get(F.col("_offers"), k, "variant").alias("_o"), _get(F.col("_offers"), k).alias("_text"))
+                                   for i, k in enumerate(OFFER_KEYS)]), lambda x: x["_o"].isNotNull())
+        listed = F.transform(F.coalesce(F.try_variant_get("_offers", "$", "array<variant>"), F.array().cast("array<variant>")),
+                             lambda o, i: F.struct(at(2, i).alias("_key"), o.alias("_o"), F.lit(None).cast("string").alias("_text")))
+        below = cut(offers.select(*key, F.inline(F.when(is_object(F.col("_offers")), inner).otherwise(listed))))
+        nested = is_object(F.col("_o"))
+        texts = below.where(~nested).withColumn("price", first_positive(F.array("_text"))).where(F.col("price").isNotNull())
+        found.append(texts.select(*key, "_key", "price"))
+        level = below.where(nested).select(*key, "_key", "_o")
+        if level.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, found)
+    best = every.groupBy(*key).agg(F.min_by("price", "_key").alias("price"))
+    return objects.join(best, key)
 
 
 def schema_types(v: Column) -> Column:
@@ -136,7 +153,7 @@ def with_page_type(pages: DataFrame, rules: PageRules) -> DataFrame:
     """Pages with their type; blocked and article pages are left out."""
     visible = strip_tags(F.regexp_replace(F.regexp_replace(
         "html", r"(?s)<!--.*?-->", " "), r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " "))
-    read = once(pages, {"_title": page_title(F.col("html")), "_text": F.substring(visible, 1, 7000)})
+    read = once(pages, {"_title": page_title(F.col("html")), "_text": F.substring(visible, 1, JUDGED_TEXT)})
     typed = typed_pages(read, "url", "_title", "_text", rules).drop("_title", "_text")
     return typed.where(~F.col("page_type").isin("BLOCKED", "ARTICLE_OR_EMPLOYMENT"))
 
@@ -152,7 +169,7 @@ def object_items(objects: DataFrame, pages: DataFrame, rules: PageRules) -> Data
     o = once(objects, {"_types": kinds, "name": _first_text(v, NAME_KEYS), "_offered": _get(v, "offers", "variant").isNotNull() & present("name")})
     o = o.withColumn("_known", F.arrays_overlap("_types", F.array(*[F.lit(t) for t in rules.schema_types])))
     o = o.where((F.col("name") != "") & ((F.size("_types") == 0) | F.col("_known") | F.col("_offered")))
-    o = once(o, {"price": price_of(v)}).where(
+    o = with_price(cut(o)).where(
         plausible_price(F.col("name"), F.col("price"), F.coalesce(_get(v, "description"), F.lit(""))))
     o = once(o, {
         "brand": F.trim(brand), "unit": _first_text(v, UNIT_KEYS), "sku": _first_text(v, CODE_KEYS),
