@@ -250,3 +250,53 @@ def test_gold_errors_follow_the_scan(spark):
     assert sorted(map(str, map(tuple, got.select("scope", "entity", "outcome", "e_pos", "g_pos").collect()))) == sorted(map(str, want))
     assert {r["outcome"] for r in got.collect()} == {"acerto", "duplicacao", "falso_positivo", "falso_negativo"}
     assert X.gold_errors(got).count() == len(want) - sum(w[2] == "acerto" for w in want)
+
+
+def test_fragments_follow_the_scan(spark):
+    """Against a sequential reckoning; a staircase is no single line."""
+    rng = random.Random(8)
+    docs = {"stairs": [(f"w{i:02d}", (100 * (i % 9), 8 * i, 100 * (i % 9) + 60, 8 * i + 20), 0.9) for i in range(30)]}
+    for d in range(25):
+        rows = []
+        for _ in range(rng.randint(1, 25)):
+            x, y, h = rng.randint(0, 40) * 6, rng.randint(0, 30) * 4, rng.choice([0, 10, 16, 40])
+            box = None if rng.random() < (1.0 if d % 6 == 5 else 0.1) else (x, y, x + rng.choice([0, 6, 18, 30]), y + h)
+            rows.append((rng.choice(["a", "b", "9", "ab", "xyz", "-"]), box, rng.choice([0.4, 0.8, 0.9])))
+        docs[f"d{d}"] = rows
+    want = {}
+    for d, rows in docs.items():
+        have = lambda b: b is not None and (b[2] > b[0] or b[3] > b[1])
+        boxed = sorted(((i, *r) for i, r in enumerate(rows) if have(r[1])), key=lambda r: (r[2][1], r[2][0]))
+        plain = [(i, *r) for i, r in enumerate(rows) if not have(r[1])]
+        out, lines = [], []
+        if not boxed:
+            for i, text, _, _ in plain:
+                if len(text) == 1 and text.isalnum() and out and out[-1][2]:
+                    out[-1] = (out[-1][0] + text, out[-1][1] + [i + 1], True)
+                else:
+                    out.append((text, [i + 1], len(text) == 1 and text.isalnum()))
+            want[d] = [(t, m) for t, m, _ in out]
+            continue
+        for r in boxed:
+            mid, tall = lambda b: (b[1] + b[3]) / 2, lambda b: b[3] - b[1]
+            line = next((x for x in lines if abs(mid(x[0][2]) - mid(r[2])) <= max(10.0, (tall(x[0][2]) + tall(r[2])) / 2 * 0.40)), None)
+            if line is None:
+                lines.append(line := [])
+            line.append(r)
+        for line in lines:
+            word = None
+            for i, text, b, _ in sorted(line, key=lambda r: r[2][0]):
+                if word is not None:
+                    a = word[2]
+                    ref = max(1.0, ((a[3] - a[1]) + (b[3] - b[1])) / 2)
+                    if -ref * 0.5 <= b[0] - a[2] <= ref * (0.45 * (1.8 if len(word[0]) == 1 or len(text) == 1 else 1.0)):
+                        word = (word[0] + text, word[1] + [i + 1], (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+                        continue
+                    out.append(word)
+                word = (text, [i + 1], b)
+            out.append(word)
+        want[d] = [(w[0], w[1]) for w in out] + [(t, [i + 1]) for i, t, _, _ in plain]
+    got = {}
+    for r in S.merge_fragments(tokens(spark, docs)).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], list(r["merged"])))
+    assert got == want and len(got["stairs"]) == 30

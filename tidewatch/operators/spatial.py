@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import boxes as B, text as T
-from ..plans.lineage import numbered, top_by
+from ..plans.lineage import numbered, once, top_by
 
 TOKEN_COLUMNS = ["doc_id", "pos", "token_id", "text", "box", "confidence", "page_w", "page_h"]
 
@@ -55,53 +55,112 @@ def reading_order(tokens: DataFrame, line_height: float = 0.02) -> DataFrame:
     return numbered(t, order, "pos").drop("_flag", "_line", "_x", "_pos")
 
 
+def _line_numbers(tokens: Column, tallest: Column, floor: float, share: float) -> Column:
+    """Tokens from the top, each with the number of the first line whose first token stands level with it, or a new line.
+
+    Lines that no later token can reach, as none begins higher, leave the search.
+    """
+    level = lambda line, t: F.abs(line["mid"] - t["mid"]) <= F.greatest(F.lit(floor), (line["tall"] + t["tall"]) / 2 * share)
+
+    def step(acc: Column, t: Column) -> Column:
+        still = F.filter(acc["lines"], lambda x: x["mid"] >= t["top"] - F.greatest(F.lit(floor), (x["tall"] + tallest) / 2 * share))
+        opened = F.struct(acc["n"].alias("no"), t["mid"].alias("mid"), t["tall"].alias("tall"))
+
+        def place(found: Column) -> Column:
+            line = F.struct(F.coalesce(found["no"], acc["n"]).alias("line"), t["x"].alias("x"), t["top"].alias("top"), t["pos"].alias("pos"), t["piece"].alias("piece"))
+            return F.struct(
+                F.when(found["no"].isNull(), F.array_append(found["lines"], opened)).otherwise(found["lines"]).alias("lines"),
+                F.when(found["no"].isNull(), acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.array_append(acc["out"], line).alias("out"))
+
+        search = lambda lines: F.struct(lines.alias("lines"), F.get(F.filter(lines, lambda x: level(x, t)), F.lit(0))["no"].alias("no"))
+        return T.let(still, lambda lines: T.let(search(lines), place))
+
+    first = F.get(tokens, F.lit(0))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("no"), first["mid"].alias("mid"), first["tall"].alias("tall"))), lambda x: F.lit(False))
+    placed = F.struct(F.lit(0).alias("line"), first["x"].alias("x"), first["top"].alias("top"), first["pos"].alias("pos"), first["piece"].alias("piece"))
+    start = F.struct(none.alias("lines"), F.lit(0).alias("n"), F.filter(F.array(placed), lambda x: F.lit(False)).alias("out"))
+    return F.aggregate(tokens, start, step, lambda acc: F.sort_array(acc["out"]))
+
+
+def _words(placed: Column, gap_share: float, lone_factor: float) -> Column:
+    """Pieces in order of line and place, put together: a piece joins the word so far when it stands close behind it."""
+    def word(t: Column) -> Column:
+        p = t["piece"]
+        return F.struct(t["line"].alias("line"), p["text"].alias("text"), p["box"].alias("box"), p["confidence"].alias("confidence"),
+                        p["token_id"].alias("token_id"), F.array(p["token_id"]).alias("merged"))
+
+    def joined(w: Column, n: Column) -> Column:
+        a, b = w["box"], n["box"]
+        side = lambda pick, c: F.when(~B.has_extent(a), b[c]).when(~B.has_extent(b), a[c]).otherwise(pick(a[c], b[c])).alias(c)
+        la, lb = F.greatest(F.lit(1), F.length(w["text"])), F.greatest(F.lit(1), F.length(n["text"]))
+        return F.struct(
+            w["line"].alias("line"), F.concat(w["text"], n["text"]).alias("text"),
+            F.struct(side(F.least, "x_min"), side(F.least, "y_min"), side(F.greatest, "x_max"), side(F.greatest, "y_max")).alias("box"),
+            F.bround((w["confidence"] * la + n["confidence"] * lb) / (la + lb), 4).alias("confidence"), w["token_id"].alias("token_id"),
+            F.concat(w["merged"], n["merged"]).alias("merged"))
+
+    def step(acc: Column, t: Column) -> Column:
+        w, n = acc["word"], word(t)
+        tall = F.greatest(F.lit(1.0), (B.height(w["box"]) + B.height(n["box"])) / 2)
+        gap = n["box"]["x_min"] - w["box"]["x_max"]
+        lone = (F.length(F.trim(w["text"])) == 1) | (F.length(F.trim(n["text"])) == 1)
+        near = T.let(tall, lambda h: gap.between(-0.5 * h, h * gap_share * F.when(lone, lone_factor).otherwise(1.0)))
+        return F.when((w["line"] == n["line"]) & near, F.struct(acc["out"].alias("out"), joined(w, n).alias("word"))).otherwise(
+            F.struct(F.array_append(acc["out"], w).alias("out"), n.alias("word")))
+
+    first = F.get(placed, F.lit(0))
+    start = F.struct(F.filter(F.array(word(first)), lambda x: F.lit(False)).alias("out"), word(first).alias("word"))
+    return F.aggregate(F.slice(placed, 2, 1 << 30), start, step, lambda acc: F.array_append(acc["out"], acc["word"]))
+
+
 def merge_fragments(tokens: DataFrame, floor: float = 10.0, line_share: float = 0.40, gap_share: float = 0.45, lone_factor: float = 1.8) -> DataFrame:
     """Words put together from the pieces a reader split them into; ``pos`` is renumbered.
 
-    A line is a run of tokens, by height, whose middles follow each other within
+    From the top, a token joins the first line whose first token's middle is within
     ``line_share`` of their mean height (at least ``floor``). In a line, from left to
-    right, a piece joins what stands before it when the gap is at most ``gap_share``
-    of the mean height, more beside a single character. Pages without any box join
-    runs of single letters.
+    right, a piece joins the word so far when the gap is at most ``gap_share`` of the
+    mean height, more when either is a single character. Both are folds over the
+    page's tokens, which meet once. Tokens without a box follow; pages without any
+    box join runs of single letters.
     """
-    page = Window.partitionBy("doc_id")
-    t = tokens.withColumn("_geo", F.max(F.col("box").isNotNull()).over(page))
-    b, size = F.col("box"), F.greatest(F.lit(1), F.length("text"))
-    by_height = page.orderBy("_mid", b["x_min"], "pos")
-    along = Window.partitionBy("doc_id", "_line").orderBy(b["x_min"], "pos")
-    near = lambda w: (F.lag("_tall").over(w) + F.col("_tall")) / 2
-    starts = lambda c: F.sum(F.when(c, 0).otherwise(1))
-    boxed = t.where(b.isNotNull()).withColumns({"_mid": B.centre_y(b), "_tall": B.height(b)})
-    boxed = boxed.withColumn("_same", F.col("_mid") - F.lag("_mid").over(by_height) <= F.greatest(F.lit(floor), near(by_height) * line_share))
-    boxed = boxed.withColumn("_line", starts(F.col("_same")).over(by_height))
-    single = F.length(F.trim("text")) == 1
-    lone = single | F.lag(single).over(along)
-    gap = b["x_min"] - F.max(b["x_max"]).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    tall = F.greatest(F.lit(1.0), near(along))
-    boxed = boxed.withColumn("_joins", gap.between(-0.5 * tall, tall * gap_share * F.when(lone, lone_factor).otherwise(1.0)))
-    boxed = boxed.withColumn("_word", starts(F.col("_joins")).over(along))
-    piece = F.struct(b["x_min"].alias("x"), "pos", F.col("token_id").cast("long").alias("token_id"), "text")
-    edge = lambda f, side: F.coalesce(f(F.when(B.has_extent(b), b[side])), f(b[side])).alias(side)
-    merged = boxed.groupBy("doc_id", "_line", "_word").agg(
-        F.array_sort(F.collect_list(piece)).alias("r"), F.round(F.sum(F.col("confidence") * size) / F.sum(size), 4).alias("confidence"),
-        F.struct(edge(F.min, "x_min"), edge(F.min, "y_min"), edge(F.max, "x_max"), edge(F.max, "y_max")).alias("box"),
-        F.min(b["y_min"]).alias("_top"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
-    merged = merged.withColumn("_y", F.min("_top").over(Window.partitionBy("doc_id", "_line"))).drop("_top")
-
-    plain = t.where(b.isNull()).withColumn("_solo", ~F.col("_geo") & single & F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$"))
-    plain = numbered(plain, [F.asc("pos")], "_k", ("doc_id", "_solo"))
-    # neighbouring letters share the distance from their place to their rank; other tokens stay alone
-    run = F.when(F.col("_solo"), F.col("pos") - F.col("_k")).otherwise(F.col("pos"))
-    loose = plain.groupBy("doc_id", "_solo", run.alias("_run")).agg(
-        F.array_sort(F.collect_list(F.struct(F.lit(0.0).alias("x"), "pos", F.col("token_id").cast("long").alias("token_id"),
-                                             F.when(F.col("_solo"), F.trim("text")).otherwise(F.col("text")).alias("text")))).alias("r"),
-        F.avg("confidence").alias("confidence"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
-    loose = loose.withColumns({"box": F.lit(None).cast(merged.schema["box"].dataType), "_y": F.lit(float("inf")), "_line": F.lit(0).cast("long")})
-    both = merged.drop("_word").unionByName(loose.drop("_solo", "_run"))
-    out = numbered(both, [F.asc("_y"), F.asc("_line"), F.asc(F.col("r")[0]["x"]), F.asc(F.col("r")[0]["pos"])], "pos")
-    return out.select(
-        "doc_id", "pos", F.col("r")[0]["token_id"].alias("token_id"), F.array_join(F.transform("r", lambda x: x["text"]), "").alias("text"),
-        "box", "confidence", "page_w", "page_h", F.transform("r", lambda x: x["token_id"]).alias("merged"))
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = tokens.repartition(parts, "doc_id").withColumn("_geo", B.has_extent(F.col("box")))
+    b = F.col("box")
+    piece = F.struct(F.col("token_id").cast("long").alias("token_id"), "text", "box", "confidence")
+    token = F.struct(b["y_min"].alias("top"), b["x_min"].alias("x"), F.col("pos").cast("long").alias("pos"), B.centre_y(b).alias("mid"), B.height(b).alias("tall"), piece.alias("piece"))
+    rest = F.struct(F.col("pos").cast("long").alias("pos"), piece.alias("piece"), (F.length(F.trim("text")) == 1).alias("single"),
+                    F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$").alias("solo"))
+    pages = once(t.groupBy("doc_id").agg(
+        F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"), F.coalesce(F.max(F.when(F.col("_geo"), B.height(b))), F.lit(0.0)).alias("_tallest"),
+        F.sort_array(F.collect_list(F.when(F.col("_geo"), token))).alias("_boxed"), F.sort_array(F.collect_list(F.when(~F.col("_geo"), rest))).alias("_plain")),
+        {"_boxed": F.col("_boxed")})
+    pages = once(pages, {"_placed": F.when(F.size("_boxed") > 0, _line_numbers(F.col("_boxed"), F.col("_tallest"), floor, line_share))})
+    pages = once(pages, {"_words": F.when(F.size("_boxed") > 0, _words(F.col("_placed"), gap_share, lone_factor))}).drop("_placed")
+
+    # pages without any box: a letter joins the letters just before it
+    def step(acc: Column, x: Column) -> Column:
+        solo = x["single"] & x["solo"]
+        p = x["piece"]
+        one = F.struct(solo.alias("solo"), F.when(solo, F.trim(p["text"])).otherwise(p["text"]).alias("text"), p["confidence"].alias("sum"), p["token_id"].alias("token_id"),
+                       p["box"].alias("box"), F.array(p["token_id"]).alias("merged"))
+        w = acc["word"]
+        more = F.struct(w["solo"].alias("solo"), F.concat(w["text"], one["text"]).alias("text"), (w["sum"] + one["sum"]).alias("sum"), w["token_id"].alias("token_id"),
+                        w["box"].alias("box"), F.concat(w["merged"], one["merged"]).alias("merged"))
+        joins = F.coalesce(w["solo"] & solo, F.lit(False))
+        kept = F.when(joins | w.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], w))
+        return F.struct(kept.alias("out"), F.when(joins, more).otherwise(one).alias("word"))
+
+    letter = "struct<solo:boolean,text:string,sum:double,token_id:bigint,box:struct<x_min:double,y_min:double,x_max:double,y_max:double>,merged:array<bigint>>"
+    start = F.struct(F.array().cast(f"array<{letter}>").alias("out"), F.lit(None).cast(letter).alias("word"))
+    letters = F.aggregate("_plain", start, step, lambda acc: F.when(acc["word"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["word"])))
+    row = lambda text, box, confidence, token_id, merged: F.struct(
+        token_id.alias("token_id"), text.alias("text"), box.alias("box"), confidence.alias("confidence"), merged.alias("merged"))
+    boxed = F.transform("_words", lambda w: row(w["text"], w["box"], w["confidence"], w["token_id"], w["merged"]))
+    alone = F.transform("_plain", lambda x: row(x["piece"]["text"], x["piece"]["box"], x["piece"]["confidence"], x["piece"]["token_id"], F.array(x["piece"]["token_id"])))
+    made = F.when(F.size("_boxed") > 0, F.concat(boxed, alone)).otherwise(
+        F.transform(letters, lambda w: row(w["text"], w["box"], w["sum"] / F.size(w["merged"]), w["token_id"], w["merged"])))
+    out = once(pages, {"_made": made}).select("doc_id", "page_w", "page_h", F.posexplode("_made").alias("_at", "w"))
+    return out.select("doc_id", (F.col("_at") + 1).alias("pos"), "w.token_id", "w.text", "w.box", "w.confidence", "page_w", "page_h", "w.merged")
 
 
 def anchor_regions(

@@ -336,18 +336,18 @@ DATE_RE = r"\b(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})\b"
 MEAS_RE = r"(?i)(\b\d+(?:[.,]\d+)?\s*(?:kg|g|mg|ml|l|litros?|sach[eê]s?|c[aá]psulas?|unidades?|un|cm|mm|m)\b|\b\d+x\d+(?:[.,]\d+)?\s*(?:g|ml|cm|mm)?\b)"
 TXT = "CAST(NULL AS VARCHAR)"
 FRAGMENTS_SQL = f"""
-WITH {I.GRID_SQL},
-f0 AS (SELECT doc_id, pos, pos AS token_id, text, confidence, CASE WHEN length(text) <= 2 THEN x1 - 40 ELSE x1 END AS a, x2, y1, y2 FROM grid),
-f1 AS (SELECT *, (y1 + y2) / 2 AS mid, greatest(0, y2 - y1) AS tall FROM f0),
-f2 AS (SELECT *, coalesce(mid - lag(mid) OVER h <= greatest(10, (lag(tall) OVER h + tall) / 2 * 0.4), false) AS same FROM f1 WINDOW h AS (PARTITION BY doc_id ORDER BY mid, a, pos)),
-f3 AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY mid, a, pos) AS line FROM f2),
-f4 AS (SELECT *, a - max(x2) OVER (PARTITION BY doc_id, line ORDER BY a, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap,
-    greatest(1, (lag(tall) OVER l + tall) / 2) AS th, length(text) = 1 OR lag(length(text) = 1) OVER l AS lone FROM f3 WINDOW l AS (PARTITION BY doc_id, line ORDER BY a, pos)),
-f5 AS (SELECT *, sum(CASE WHEN gap BETWEEN -0.5 * th AND th * 0.45 * CASE WHEN lone THEN 1.8 ELSE 1 END THEN 0 ELSE 1 END)
-    OVER (PARTITION BY doc_id, line ORDER BY a, pos) AS word FROM f4),
-f6 AS (SELECT doc_id, line, word, min(y1) AS top, arg_min(token_id, a * 1e6 + pos) AS token_id, string_agg(text, '' ORDER BY a, pos) AS text, count(*) AS parts, min(a) AS x FROM f5 GROUP BY doc_id, line, word)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min_top, line, x, token_id) AS pos, token_id, text, parts
-FROM (SELECT *, min(top) OVER (PARTITION BY doc_id, line) AS min_top FROM f6)
+WITH RECURSIVE {I.GRID_SQL},
+f AS (SELECT doc_id, pos, text, pos // 12 AS line, CASE WHEN length(text) <= 2 THEN x1 - 40 ELSE x1 END AS a, x2 FROM grid),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY a, pos) AS k FROM f),
+scan(doc_id, line, k, pos, text, word, reach, letters) AS (
+  SELECT doc_id, line, k, pos, text, 1, x2, length(text) FROM o WHERE k = 1
+  UNION ALL
+  SELECT doc_id, line, k, pos, text, CASE WHEN joins THEN word ELSE word + 1 END, CASE WHEN joins THEN greatest(reach, x2) ELSE x2 END,
+    CASE WHEN joins THEN letters + length(text) ELSE length(text) END
+  FROM (SELECT o.*, s.word, s.reach, s.letters, o.a - s.reach BETWEEN -8 AND 16 * 0.45 * CASE WHEN s.letters = 1 OR length(o.text) = 1 THEN 1.8 ELSE 1 END AS joins
+    FROM scan s JOIN o ON o.doc_id = s.doc_id AND o.line = s.line AND o.k = s.k + 1)),
+w AS (SELECT doc_id, line, word, arg_min(pos, k) AS token_id, string_agg(text, '' ORDER BY k) AS text, count(*) AS parts FROM scan GROUP BY 1, 2, 3)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, word) AS pos, token_id, text, parts FROM w
 """
 LETTERS_SQL = f"""
 WITH {I.DOC_TOKENS_SQL},
