@@ -184,17 +184,45 @@ def test_percentiles_and_gates(spark):
     same = spark.createDataFrame(item, ITEM)
     times = spark.createDataFrame([("d", 1.0, 2.0, False)], "doc_id string, old_ms double, new_ms double, crashed boolean")
     totals = Q.gate_totals(X.compare_extractors(same, same), same, same, times)
-    gates = Q.gate_rows(totals)
+    fine = spark.createDataFrame([(True, False, True)], "tables_intact boolean, prior_changed boolean, repeatable boolean")
+    gates = Q.gate_rows(totals, fine)
     assert gates.count() == 12 and Q.decide(gates).first()["decision"] == "INSUFFICIENT_DATA"
     assert Q.decide(gates, 1).first()["decision"] == "PASS"
     other = spark.createDataFrame([("d", 1, "Café Pilão", 2.0, "")], ITEM)
-    assert Q.decide(Q.gate_rows(Q.gate_totals(X.compare_extractors(same, other), same, other, times)), 1).first()["decision"] == "FAIL"
+    assert Q.decide(Q.gate_rows(Q.gate_totals(X.compare_extractors(same, other), same, other, times), fine), 1).first()["decision"] == "FAIL"
 
 
 def test_table_checks(spark):
     a = spark.range(5)
     assert Q.same_table(a, a.repartition(3)) and not Q.same_table(a, spark.range(4))
     assert Q.table_digest(a).first() == Q.table_digest(a.repartition(3)).first()
+    rows = lambda *r: Q.table_digest(spark.createDataFrame(list(r), "x string, y string")).first()
+    assert rows(("1", None)) != rows((None, "1")) and rows(("1", "2")) != rows(("1", "2"), ("1", "2")) and rows(("", None)) != rows((None, ""))
+
+
+def test_gates_on_measured_facts(spark, tmp_path):
+    """A changed table, an unstable job and a changed prior result each fail their gate."""
+    path = str(tmp_path / "table")
+    spark.range(9).write.parquet(path)
+    item = spark.createDataFrame([("d", 1, "Café Pilão", 1.0, "")], ITEM)
+    times = spark.createDataFrame([("d", 1.0, 2.0, False)], "doc_id string, old_ms double, new_ms double, crashed boolean")
+    read = lambda: {"table": spark.read.parquet(path)}
+
+    def failed(job, prior=lambda: item, kept=None):
+        rows, checks = Q.run_checks(job, read, prior, kept)
+        gates = Q.gate_rows(Q.gate_totals(rows, item, item, times), checks)
+        return [r["gate"] for r in gates.where("status = 'FAIL'").collect()]
+
+    compare = lambda execution: X.compare_extractors(item, item)
+    assert failed(compare) == []
+    assert failed(lambda execution: compare(1).withColumn("similarity", F.lit(1.0 / execution))) == ["G12_idempotency"]
+    assert failed(compare, kept=Q.digests({"prior": item.withColumn("price", F.lit(2.0))})) == ["G8_legacy_regression"]
+
+    def writes(execution):
+        spark.range(1).write.mode("append").parquet(path)
+        return compare(1)
+
+    assert failed(writes) == ["G7_table_integrity"]
 
 
 def test_ranked_percentiles(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -109,25 +112,25 @@ def gate_totals(comparison: DataFrame, old: DataFrame, new: DataFrame, timings:
         "unresolved_rate", F.col("unresolved") / size)
 
 
-def gate_rows(totals: DataFrame, tables_intact: bool = True, old_regressed: bool = False, repeatable: bool = True,
-              max_p99_ms: float = 100.0, min_matching: float = 0.95, max_unresolved: float = 0.05) -> DataFrame:
-    """The twelve gates as rows (gate, status, expected, actual)."""
+def gate_rows(totals: DataFrame, checks: DataFrame, max_p99_ms: float = 100.0, min_matching: float = 0.95, max_unresolved: float = 0.05) -> DataFrame:
+    """The twelve gates as rows (gate, status, expected, actual); ``checks`` is the row that ``run_checks`` measured."""
     text = lambda c: c.cast("string")
     gate = lambda name, ok, expected, actual: F.struct(
         F.lit(name).alias("gate"), F.when(ok, "PASS").otherwise("FAIL").alias("status"), F.lit(str(expected)).alias("expected"), text(actual).alias("actual"))
     none = lambda name, c: gate(name, F.col(c) == 0, 0, F.col(c))
-    flag = lambda name, value, want: gate(name, F.lit(value == want), str(want).lower(), F.lit(value))
+    flag = lambda name, c, want: gate(name, F.coalesce(F.col(c) == want, F.lit(False)), str(want).lower(), F.col(c))
     rate = lambda c: T.round_half_up(F.col(c), 4)
     gates = [
         none("G1_crashes", "crashes"), none("G2_fp_generic", "fp_generic"), none("G3_fn_generic", "fn_generic"),
         none("G4_price_divergence", "price_divergence"), none("G5_unit_divergence", "unit_divergence"), none("G6_duplicate", "duplicate"),
-        flag("G7_table_integrity", tables_intact, True), flag("G8_legacy_regression", old_regressed, False),
+        flag("G7_table_integrity", "tables_intact", True), flag("G8_legacy_regression", "prior_changed", False),
         gate("G9_generic_p99_latency", F.col("new_p99") < max_p99_ms, max_p99_ms, F.col("new_p99")),
         gate("G10_matching_rate", F.col("matching_rate") >= min_matching, min_matching, rate("matching_rate")),
         gate("G11_unresolved_rate", F.col("unresolved_rate") <= max_unresolved, max_unresolved, rate("unresolved_rate")),
-        flag("G12_idempotency", repeatable, True),
+        flag("G12_idempotency", "repeatable", True),
     ]
-    return totals.select(F.col("documents").alias("documents"), F.posexplode(F.array(*gates)).alias("gate_no", "g")).select(
+    t = totals.select("*", *[checks.select(c).scalar().alias(c) for c in ("tables_intact", "prior_changed", "repeatable")])
+    return t.select(F.col("documents").alias("documents"), F.posexplode(F.array(*gates)).alias("gate_no", "g")).select(
         (F.col("gate_no") + 1).alias("gate_no"), "g.*", "documents")
 
 
@@ -146,12 +149,50 @@ def decide(gates: DataFrame, min_documents: int = 10) -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """One row: row count and an order-free checksum of a table."""
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
+    """One row (rows, low, high): how many rows a table has and two independent sums over their digests, in any order.
+
+    A row's digest is the MD5 of its columns as text, by name, nulls told from texts; the
+    sums take 48 bits of it each. As sums count repeats, tables of other multiplicities differ.
+    """
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(df.columns)]
+    digest = F.md5(F.concat_ws("\x1f", *cells))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), part(1).alias("low"), part(13).alias("high"))
+
+
+def digests(tables: dict[str, DataFrame], run_id: str = "") -> DataFrame:
+    """(run_id, table, rows, low, high) of several tables, to be kept and compared later."""
+    return reduce(DataFrame.unionByName, [table_digest(df).select(F.lit(run_id).alias("run_id"), F.lit(name).alias("table"), "*") for name, df in tables.items()])
+
+
+def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Names of tables that differ between two sets of digests, or are in one of them only."""
+    side = lambda df, tag: df.select("table", F.struct("rows", "low", "high").alias(tag))
+    both = side(before, "a").join(side(after, "b"), "table", "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("table")
 
 
 def same_table(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows, as often, in any order."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return changed_tables(digests({"t": a}), digests({"t": b.select(*a.columns)})).isEmpty()
+
+
+def run_checks(job: Callable[[int], DataFrame], tables: Callable[[], dict[str, DataFrame]], prior: Callable[[], DataFrame],
+               kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A job's result, and one row (tables_intact, prior_changed, repeatable) of what was measured around it.
+
+    ``tables`` reads the tables that no run may change, before and after; ``job``
+    runs twice, as its first and second execution, which may partition their input
+    differently; ``prior`` is the prior extractor's result, held against the digest
+    ``kept`` of an earlier run, or else against itself before the job.
+    """
+    before = cut(digests(tables()))
+    earlier = kept if kept is not None else cut(digests({"prior": prior()}))
+    result = cut(job(1))
+    again = digests({"job": job(2).select(*result.columns)})
+    after = digests(tables())
+    count = lambda changed: changed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return result, cut(result.sparkSession.range(1).select(
+        (count(changed_tables(before, after)) == 0).alias("tables_intact"),
+        (count(changed_tables(earlier, digests({"prior": prior()}))) > 0).alias("prior_changed"),
+        (count(changed_tables(digests({"job": result}), again)) == 0).alias("repeatable")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import boxes as B, text as T
 from ..rules import PageRules, RadarProfile
-from .lineage import spread
+from .lineage import numbered, spread
 
 AS_OF = "2024-02-01"
 
@@ -346,8 +346,10 @@ def extractor_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     j = li.join(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     price = T.round_half_up(F.col("l_extendedprice") / F.col("l_quantity"), 2)
     unit = F.concat(F.col("p_size").cast("string"), F.lit(" un"))
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")]
+    j = numbered(j, order, "pos", ("l_orderkey",))
     base = j.select(
-        F.col("l_orderkey").alias("doc_id"), _line_key().alias("pos"), F.col("p_name").alias("name"), "p_type",
+        F.col("l_orderkey").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.col("p_name").alias("name"), "p_type",
         price.alias("price"), unit.alias("unit"), "l_discount", "l_tax", "l_returnflag")
     old = base.where(~((F.col("l_returnflag") == "A") & (F.col("l_tax") >= 0.08))).select("doc_id", "pos", "name", "price", "unit")
     new = base.where(~((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08))).select(

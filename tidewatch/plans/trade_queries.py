@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T, urls as U
-from ..operators import matching as M, pages as P, prices as C, products as D
+from ..operators import gates as G, matching as M, pages as P, prices as C, products as D
 from ..functions.similarity import jaccard
 from ..sources import exports
 from . import inputs as I
 from .inputs import any_sql, norm_sql
+from .lineage import cut
 
 R = lambda x, n: f"round(CAST({x} AS DECIMAL(28,8)), {n})::DOUBLE"
 
@@ -18,13 +19,17 @@ def price_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return I.snapshots(spark, sf).drop("product_id")
 
 
-def price_change(spark: SparkSession, sf: str) -> DataFrame:
-    """Every year's prices against the year before."""
-    return C.price_changes_by_run(I.snapshots(spark, sf)).select(
+def _changes(snapshots: DataFrame) -> DataFrame:
+    return C.price_changes_by_run(snapshots).select(
         "entity", "source_domain", "product_key", "run", "previous_price", F.col("price").alias("current_price"),
         T.round_half_up(F.col("change_pct"), 2).alias("change_pct"), "promotion_before", F.col("promotion").alias("promotion_now"))
 
 
+def price_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Every year's prices against the year before."""
+    return _changes(I.snapshots(spark, sf))
+
+
 def price_change_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The last full year against the one before, first 100 keys."""
     s = I.snapshots(spark, sf).withColumns({"product_name": F.col("product_key"), "url": F.lit("")})
@@ -33,11 +38,12 @@ def price_change_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price_change_repeat(spark: SparkSession, sf: str) -> DataFrame:
-    """The price changes reckoned twice: how many rows, and how many of them differ in either direction."""
-    first, second = price_change(spark, sf), price_change(spark, sf)
-    tag = lambda df, n: df.select(F.lit(n).alias("what"))
-    rows = tag(first, "rows").unionByName(tag(first.exceptAll(second), "differs")).unionByName(tag(second.exceptAll(first), "differs"))
-    return rows.agg(F.count_if(F.col("what") == "rows").alias("rows"), F.count_if(F.col("what") == "differs").alias("differing"))
+    """The price changes reckoned twice, the second time from rows dealt out anew: the rows of each, and whether their digests agree."""
+    first = cut(_changes(I.snapshots(spark, sf)))
+    second = cut(_changes(cut(I.snapshots(spark, sf)).repartition(5, "product_id")))
+    a, b = (cut(G.digests({"changes": x})) for x in (first, second))
+    same = G.changed_tables(a, b).agg((F.count(F.lit(1)) == 0).alias("s")).scalar()
+    return a.select(F.col("rows").alias("first"), b.select("rows").scalar().alias("second"), same.alias("repeatable"))
 
 
 def report_price_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +239,7 @@ ORACLES = {
 SELECT * EXCLUDE (pct), {R('pct', 2)} AS change_pct FROM c WHERE abs(pct) >= 0.5 OR promotion_before <> promotion_now""",
     "price_change_repeat": f"""WITH {I.SNAPSHOTS_SQL}, c AS (SELECT (a.price - b.price) / b.price * 100 AS pct, b.promotion AS before, a.promotion AS now
   FROM snapshots a JOIN snapshots b ON a.entity = b.entity AND a.product_key = b.product_key AND a.run = b.run + 1 WHERE b.price <> 0)
-SELECT count(*) AS rows, 0 AS differing FROM c WHERE abs(pct) >= 0.5 OR before <> now""",
+SELECT count(*) AS first, count(*) AS second, true AS repeatable FROM c WHERE abs(pct) >= 0.5 OR before <> now""",
     "report_price_changes": f"""WITH {I.SNAPSHOTS_SQL}, c AS (SELECT a.entity, a.source_domain, a.product_key, b.price AS previous_price, a.price AS current_price,
   (a.price - b.price) / b.price * 100 AS pct, b.promotion AS before, a.promotion AS now
   FROM snapshots a JOIN snapshots b ON a.entity = b.entity AND a.product_key = b.product_key AND a.run = 1998 AND b.run = 1997 WHERE b.price <> 0)
