@@ -115,3 +115,56 @@ def test_deep_and_long_pages():
     assert html_text.main_text(deep) == "core text"
     long = "<article>" + "".join(f"<p>paragraph number {i} of the page.</p>" for i in range(20_000)) + "</article>"
     assert html_text.main_text(long).count("paragraph") == 20_000
+
+
+TALE = "<h1>Title of it</h1>" + "".join(f"<p>Sentence number {i} of the story goes on with words, and some more.</p>" for i in range(5))
+TALE_TEXT = "Title of it " + " ".join(f"Sentence number {i} of the story goes on with words, and some more." for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='content has-sidebar'>{}</div></body>", "<body><div class='layout related-right'>{}<div class=related><a href=x>other news</a></div></div></body>",
+    "<body><form id=aspnetForm><nav><a href=x>menu</a></nav>{}</form></body>", "<body><div class=ad>buy this now<article>{}</article></body>",
+    "<body><nav><a href=1>a</a></nav><div class=ad><div class=text>{}</div></body>", "<body><div class='article promo'>{}</div><div class=footer>small</div></body>",
+    "<body><article>{}</article><section class=comments>" + "<p>A reader says a lot about this, at great length, and then more of it.</p>" * 9 + "</section></body>"])
+def test_odd_wrappers_keep_the_article(page):
+    assert html_text.main_text("<html>" + page.format(TALE)) == TALE_TEXT
+
+
+def test_density_decides(monkeypatch):
+    """Nothing on the page names its parts; without densities the text is another."""
+    links = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(20))
+    page = f"<body><div><ul>{links}</ul></div><div><div>{TALE}</div></div><div><ul>{links}</ul></div></body>"
+    assert html_text.main_text(page) == TALE_TEXT
+    whole = html_text.measure
+
+    def flat(root):
+        nodes = whole(root)
+        for n in nodes:
+            n.density = n.total = 0.0
+        return nodes
+
+    monkeypatch.setattr(html_text, "measure", flat)
+    assert html_text.main_text(page) != TALE_TEXT
+
+
+def test_given_pages_against_their_own_layout():
+    """The tables' pages hold one article element; a plain reading of it gives the same texts."""
+    import html as entities
+    import re
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        inner = re.search(r"(?s)<article>(.*)</article>", page)[1]
+        parts = re.split(r"</?(?:p|h1|br)\b[^>]*>", inner)
+        plain = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        assert html_text.main_text(page) == " ".join(x for x in plain if x)
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 300_000, "<i>" * 20_000 + "</b>" * 200_000, "<a " * 300_000, "<div>" * 150_000 + "x", "<ul><li>" * 60_000 + "</b>" * 60_000, "</script" * 99_000, '<a "' * 250_000):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 10
