@@ -31,6 +31,62 @@ def test_exact_dedup(spark, collide):
         assert kept.columns == edge_docs(spark).columns and exact_dedup.exact_dedup(empty_docs(spark)).count() == 0
 
 
+ODD = [(None, "lost text here", "a"), (None, "lost text here", "b"), (None, "lost text here", "a"), (7, "other text now", "a"), (7, "other text now", "a"),
+       (8, "other text now", "b"), (1, "one text of id one", "a"), (1, "quite another text of it", "b"), (None, None, "b"), (None, "", None)]
+
+
+def odd_docs(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("keep, winner", [("largest", 8), ("smallest", 7)])
+def test_kept_rows_without_or_with_repeated_ids(spark, keep, winner):
+    rows = exact_dedup.drop_copies(odd_docs(spark), keep=keep).collect()
+    assert sorted((norm(r.doc_id), r.text or "") for r in rows) == sorted([
+        (-1, "lost text here"), (winner, "other text now"), (1, "one text of id one"), (1, "quite another text of it"), (-1, "")])
+    assert exact_dedup.drop_copies(empty_docs(spark)).count() == 0
+    near = near_dup.drop_near_copies(odd_docs(spark)).collect()
+    assert sorted((norm(r.doc_id), r.text or "") for r in near) == sorted([
+        (-1, "lost text here"), (7, "other text now"), (1, "one text of id one"), (1, "quite another text of it"), (-1, ""), (-1, "")])
+    assert near_dup.drop_near_copies(empty_docs(spark)).count() == 0 and near_dup.drop_near_copies(edge_docs(spark)).columns == edge_docs(spark).columns
+
+
+def test_mixed_rows_without_or_with_repeated_ids(spark):
+    """Copies go to the row that has them, not to its id."""
+    docs = spark.createDataFrame([(None, "w " * 100, "a")] * 3 + [(None, "v " * 10, "b"), (4, "x " * 50, "b"), (4, "y " * 50, "c")], "doc_id long, text string, source string")
+    told = mixing.mix(docs).collect()
+    got = Counter((r.source, r.text) for r in mixing.mixed(docs).collect())
+    words = Counter()
+    for (source, text), n in got.items():
+        words[source] += n * len(text.split())
+    want = {"a": 0, "b": 0, "c": 0}
+    sizes = {"a": 300, "b": 60, "c": 50}
+    for r in told:
+        source = next(s for s, n in sizes.items() if n == r.source_size)
+        want[source] += r.taken
+    assert words == Counter(want) and max(got[("b", "v " * 10)], got[("b", "x " * 50)], got[("c", "y " * 50)]) <= 3
+    assert mixing.mixed(empty_docs(spark)).count() == 0 and mixing.mixed(edge_docs(spark)).columns == edge_docs(spark).columns
+
+
+def test_unequal_chances_sum_to_the_words_owed(spark):
+    sizes = [(s, n, 1 + n % 3) for s in ("a", None) for n in (0, 1, 2, 5, 9, 40, 900)]
+    owed = {"a": 700.0, None: 5.0}
+    got = {r.source: r for r in mixing.chances(spark.createDataFrame(sizes, "source string, size long, n long"),
+                                                spark.createDataFrame(list(owed.items()), "source string, owed double")).collect()}
+    for s, r in got.items():
+        total = sum(n * size * min(1.0, (r.rate or 1) * size) for x, size, n in sizes if x == s)
+        assert total == pytest.approx(owed[s]) and r.sure == sum(n * size for x, size, n in sizes if x == s and r.rate * size >= 1)
+    assert got["a"].rate > got[None].rate
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    a, b = prose(301, 80), prose(302, 80)
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a + " end")]
+    for order in (rows, rows[::-1]):
+        got = near_dup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), size=2).collect()
+        assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
+
+
 def targets(sizes: dict, weights=(5, 2, 1), limit=3):
     """Water filling, one source after the other."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])

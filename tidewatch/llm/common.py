@@ -122,6 +122,12 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str)
         "_slot", "_part", "_p", "_first", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key of its own for every row, and that key's name: ids may be missing or repeat."""
+    name = f"_row_{uuid.uuid4().hex[:8]}"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose key is in ``gone``; rows without a key stay.
 
@@ -133,4 +139,4 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(out, docs[key] == out[name], "left_anti")
 
 
-__all__ = ["count_words", "crc_mod", "cut", "documents", "drop_cut", "least_hashed", "map_rows", "map_texts", "pieces", "rank_within", "without", "words_of"]
+__all__ = ["count_words", "crc_mod", "cut", "documents", "drop_cut", "least_hashed", "map_rows", "map_texts", "pieces", "rank_within", "with_row", "without", "words_of"]

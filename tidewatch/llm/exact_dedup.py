@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, documents, without
+from .common import cut, documents, with_row, without
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "smallest", digest=None) -> DataFrame:
@@ -51,8 +51,15 @@ def _told(df: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "largest") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops, all columns kept."""
-    return without(docs, exact_dedup(docs, text, key, keep).where("not kept").select(key), key)
+    """One row of each text, all columns kept: the one with the largest (or smallest) id.
+
+    Rows are told apart by a key of their own, so of rows with one id, or without any, one stays too.
+    """
+    keyed, row = with_row(docs)
+    place = F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("id"), (-F.col(row)).alias("row")) if keep == "largest" else F.struct(
+        F.col(key).isNull().alias("lacks"), F.col(key).alias("id"), F.col(row).alias("row"))
+    told = exact_dedup(keyed.select(F.col(text).alias("text"), place.alias("place")), "text", "place", keep)
+    return without(keyed, told.where("not kept").select(F.abs("place.row").alias(row)), row).drop(row)
 
 
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:

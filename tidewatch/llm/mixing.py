@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source's target is a share of all words by weight; it stops at a limit of
-repeats, and what is over goes to the others by weight. A document's expected
-number of copies is its source's target over its size. Its whole copies are
-certain; for the fraction left, documents are ranked by random odds divided by
+repeats, and what is over goes to the others by weight. The whole times that a
+source goes into its target are certain copies of all its documents. What is
+still owed is drawn: a document's chance is in proportion to its size, so that
+chances times sizes sum to the words owed, and documents whose chance would be
+above one are certain too. The others are ranked by random odds divided by
 inclusion odds, u/(1-u) : p/(1-p), and the first ones are taken until the words
-that the source still owes are reached. The random number is a hash of the id,
-so reruns agree.
+owed are reached. The random number is a hash of id and text, so reruns agree.
 
 The place where a source's ranking stops is found by sums per rank interval,
 then per part of the interval in which it lies, so no source's rows meet in one
@@ -14,8 +15,8 @@ task however many it has.
 
 Defined cases: null texts have no words and take none; a null source is a
 source of its own, the last; sources without words get nothing; repeated rows
-and rows without an id are each a document, with one random number; ties in
-rank are settled by id and size; other columns are not read.
+and rows without an id are each a document, equal ones with one random number;
+ties in rank are settled by id and size; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.lineage import with_rank
-from .common import count_words, cut, documents
+from .common import count_words, cut, documents, with_row
 
 STEPS = 4096
 """Rank intervals of a source, and parts of the interval in which its ranking stops."""
@@ -52,16 +53,49 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], limit: float) ->
     return src.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
+def chances(sizes: DataFrame, owed: DataFrame) -> DataFrame:
+    """(source, rate, sure): a document's chance is ``rate`` times its size, one at most, and ``sure`` words are certain.
+
+    ``sizes`` counts (source, size, n), ``owed`` holds the words to draw by source. Each
+    round takes what is certain out and raises the rate of the rest, until no other becomes certain.
+    """
+    s = cut(sizes.where("size > 0").join(owed.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).where("owed > 0").drop("_source"))
+    words, squares = F.col("n") * F.col("size"), F.col("n") * F.col("size") * F.col("size")
+
+    def solved(rows: DataFrame, certain) -> DataFrame:
+        rest = F.sum(F.when(~certain, squares))
+        sure = F.coalesce(F.sum(F.when(certain, words)), F.lit(0))
+        return cut(rows.groupBy("source").agg(((F.first("owed") - sure) / rest).alias("rate"), sure.alias("sure"), F.count_if(certain).alias("held")))
+
+    found = solved(s, F.lit(False))
+    while True:
+        with_rate = s.join(found.select(F.col("source").alias("_source"), "rate"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        again = solved(with_rate, F.coalesce(F.col("rate") * F.col("size") >= 1, F.lit(True)))
+        grown = again.agg(F.sum("held")).first()[0] != found.agg(F.sum("held")).first()[0]
+        found = again
+        if not grown:
+            return found.select("source", "rate", "sure")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: float = 3.0, text: str = "text", source: str = "source",
-        key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """How often the mix takes every document: (key, size, source_size, target, copies, taken)."""
-    base = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size")))
+        key: str = "doc_id", seed: int = 17, lot: Sequence[str] | None = None) -> DataFrame:
+    """How often the mix takes every document: (key, size, source_size, target, copies, taken).
+
+    ``lot`` names the columns that, with the text, make a document's random number; the key if none are given.
+    """
+    drawn = F.xxhash64(F.lit(seed), *[F.col(c) for c in (lot or [key])], F.xxhash64(F.coalesce(text, F.lit(""))))
+    base = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), drawn.alias("lot")))
     targets = source_targets(base.select("source", "size"), weights, limit)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets.withColumn("whole", F.floor(times)).withColumn("chance", times - F.floor(times)).withColumn(
-        "owed", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_source")
+    plan = cut(targets.withColumn("whole", F.floor(times)).withColumn("owed", F.col("target") - F.col("whole") * F.col("source_size")))
+    rates = chances(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), plan.select("source", "owed"))
+    plan = plan.join(rates.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of").withColumnRenamed("source", "_source")
     rows = base.join(plan, base["source"].eqNullSafe(plan["_source"]), "left").drop("_source")
-    rows = cut(rows.withColumn("rank", pareto_rank(F.xxhash64(F.lit(seed), "id"), F.col("chance"))))
+    # without a rate all that is owed is certain, or nothing is
+    chance = F.when(F.col("size") > 0, F.coalesce(F.col("rate") * F.col("size"), (F.coalesce("sure", F.lit(0)) > 0).cast("double"))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("chance", chance).withColumn("whole", F.col("whole") + (F.col("chance") >= 1).cast("int")).withColumn(
+        "owed", F.col("owed") - F.coalesce("sure", F.lit(0)))
+    rows = cut(rows.withColumn("rank", pareto_rank(F.col("lot"), F.col("chance"))).drop("rate", "sure", "lot"))
     return taken_first(rows).select(
         F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -111,10 +145,11 @@ def _beside(rows: DataFrame, stops: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` as the mix takes them: every row as often as it has copies, all columns kept."""
-    copies = mix(docs, key=key, **options).groupBy(F.col(key).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    met = docs.join(copies.where("_mix_copies > 0"), docs[key].eqNullSafe(copies["_mix_id"]))
-    return met.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` as the mix takes them: every row as often as it has copies, all columns kept; rows count by a key of their own."""
+    keyed, row = with_row(docs)
+    copies = mix(keyed, key=row, lot=[key], **options).where("copies > 0").select(F.col(row).alias("_mix_row"), F.col("copies").alias("_mix_copies"))
+    met = keyed.join(copies, keyed[row] == copies["_mix_row"])
+    return met.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[keyed[c] for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:

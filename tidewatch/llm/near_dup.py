@@ -23,10 +23,10 @@ confirmed on the full sets before it links.
 
 Defined cases: null texts and texts without words have an empty set and are
 linked with nothing; texts with fewer words than a shingle have their whole
-sequence as their one shingle; rows without an id belong to the component of
-their set but give it no name; repeated rows are judged each, and rows of one id
-are taken to hold one text; other columns are not read; an empty table gives an
-empty result.
+sequence as their one shingle; every row counts by a key of its own, so rows
+without an id link like others but give their component no name, and rows of one
+id may hold unlike texts; repeated rows are judged each; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, documents, drop_cut, map_texts, pieces, without
+from .common import cut, documents, drop_cut, map_texts, pieces, with_row, without
 
 SIGNATURE, CODES = 128, 64
 """Minwise tokens of a class, and how many of them have a code for the first comparison."""
@@ -424,26 +424,41 @@ def link_large(linker: Linker, large: DataFrame) -> None:
         linker.gather(rows)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row."""
-    rows = cut(describe(docs, size, text, key))
-    classes = cut(rows.where("n_shingles > 0 and id is not null").groupBy("same").agg(
+def row_components(keyed: DataFrame, size: int, percent: int, text: str, row: str) -> DataFrame:
+    """(row, n_shingles, comp) of every row: the smallest row key it can reach; null for an empty set."""
+    rows = cut(describe(keyed, size, text, row))
+    classes = cut(rows.where("n_shingles > 0").groupBy("same").agg(
         F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"), F.first("nodes").alias("nodes")))
     small, large = tree_nodes(classes)
-    linker = Linker(classes, docs, size, percent, text, key)
+    linker = Linker(classes, keyed, size, percent, text, row)
     if linker.link(linker.placed(small), chain=True)[0]:
         # what is joined by now need not meet again; the rest meets in full
         linker.link(apart(linker.placed(small)), chain=False)
     link_large(linker, large)
-    named = linker.placed(classes.select("same", "id")).select("same", F.col("comp").alias("component_id"))
-    out = rows.select("id", "n_shingles", "same").join(named, "same", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), "n_shingles", alone.alias("component_id"), F.col("id").eqNullSafe(alone).alias("kept"))
+    named = linker.placed(classes.select("same", "id")).select("same", "comp")
+    return cut(rows.select(F.col("id").alias(row), "n_shingles", "same").join(named, "same", "left").drop("same"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row."""
+    keyed, row = with_row(docs.select(key, text))
+    told = row_components(keyed, size, percent, text, row).join(keyed.select(row, F.col(key).alias("id")), row)
+    names = told.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    out = told.join(names, "comp", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component, all columns kept."""
-    return without(docs, near_duplicates(docs, size, percent, text, key).where("not kept").select(key), key)
+    """``docs`` with one row of each component, the one with the smallest id, all columns kept.
+
+    Rows are told apart by a key of their own; a row without an id stays if its component has none.
+    """
+    keyed, row = with_row(docs)
+    told = row_components(keyed, size, percent, text, row).where("comp is not null")
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", row)).alias("first")
+    stay = told.join(keyed.select(row, F.col(key).alias("id")), row).groupBy("comp").agg(first).select(F.col("first")[row].alias(row))
+    return without(keyed, told.select(row).join(stay, row, "left_anti"), row).drop(row)
 
 
 def op4_near_dup(spark: SparkSession, sf: str) -> DataFrame:
