@@ -6,7 +6,12 @@ Tokens are rows (doc_id, pos, token_id, text, box, confidence, page_w, page_h);
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import boxes as B, text as T
 from ..plans.lineage import numbered, once, top_by
@@ -55,31 +60,39 @@ def reading_order(tokens: DataFrame, line_height: float = 0.02) -> DataFrame:
     return numbered(t, order, "pos").drop("_flag", "_line", "_x", "_pos")
 
 
-def _line_numbers(tokens: Column, tallest: Column, floor: float, share: float) -> Column:
-    """Tokens from the top, each with the number of the first line whose first token stands level with it, or a new line.
+def _with_lines(boxed: DataFrame, floor: float, share: float) -> DataFrame:
+    """Add ``_line``: the number of the first line of the page whose first token stands level with the token, or of a new one.
 
-    Lines that no later token can reach, as none begins higher, leave the search.
+    Tokens pass from the top, sorted within their page's partition; a task holds the
+    lines that a later token can still reach, and not the page.
     """
-    level = lambda line, t: F.abs(line["mid"] - t["mid"]) <= F.greatest(F.lit(floor), (line["tall"] + t["tall"]) / 2 * share)
-
-    def step(acc: Column, t: Column) -> Column:
-        still = F.filter(acc["lines"], lambda x: x["mid"] >= t["top"] - F.greatest(F.lit(floor), (x["tall"] + tallest) / 2 * share))
-        opened = F.struct(acc["n"].alias("no"), t["mid"].alias("mid"), t["tall"].alias("tall"))
-
-        def place(found: Column) -> Column:
-            line = F.struct(F.coalesce(found["no"], acc["n"]).alias("line"), t["x"].alias("x"), t["top"].alias("top"), t["pos"].alias("pos"), t["piece"].alias("piece"))
-            return F.struct(
-                F.when(found["no"].isNull(), F.array_append(found["lines"], opened)).otherwise(found["lines"]).alias("lines"),
-                F.when(found["no"].isNull(), acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.array_append(acc["out"], line).alias("out"))
-
-        search = lambda lines: F.struct(lines.alias("lines"), F.get(F.filter(lines, lambda x: level(x, t)), F.lit(0))["no"].alias("no"))
-        return T.let(still, lambda lines: T.let(search(lines), place))
-
-    first = F.get(tokens, F.lit(0))
-    none = F.filter(F.array(F.struct(F.lit(0).alias("no"), first["mid"].alias("mid"), first["tall"].alias("tall"))), lambda x: F.lit(False))
-    placed = F.struct(F.lit(0).alias("line"), first["x"].alias("x"), first["top"].alias("top"), first["pos"].alias("pos"), first["piece"].alias("piece"))
-    start = F.struct(none.alias("lines"), F.lit(0).alias("n"), F.filter(F.array(placed), lambda x: F.lit(False)).alias("out"))
-    return F.aggregate(tokens, start, step, lambda acc: F.sort_array(acc["out"]))
+    schema = T_.StructType([*boxed.schema.fields, T_.StructField("_line", T_.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, lines, count = None, [], 0
+        for batch in batches:
+            top, mid, tall, tallest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_top", "_mid", "_tall", "_tallest"))
+            docs = batch.column("doc_id").to_pylist()
+            # neighbours of one page, height and place share their line
+            code = batch.column("doc_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new = np.ones(len(docs), bool)
+            new[1:] = (np.diff(code) != 0) | (np.diff(top) != 0) | (np.diff(mid) != 0) | (np.diff(tall) != 0)
+            starts, numbers = np.flatnonzero(new), []
+            for i in starts.tolist():
+                if docs[i] != page or not count:
+                    page, lines, count = docs[i], [], 0
+                lines = [x for x in lines if x[1] >= top[i] - max(floor, (x[2] + tallest[i]) / 2 * share)]
+                found = next((no for no, m, t in lines if abs(m - mid[i]) <= max(floor, (t + tall[i]) / 2 * share)), None)
+                if found is None:
+                    found = count
+                    lines.append((count, mid[i], tall[i]))
+                    count += 1
+                numbers.append(found)
+            every = np.repeat(np.array(numbers, np.int32), np.diff(np.append(starts, len(docs))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(every)], schema=arrow)
+
+    return boxed.mapInArrow(run, schema)
 
 
 def _words(placed: Column, gap_share: float, lone_factor: float) -> Column:
@@ -119,48 +132,38 @@ def merge_fragments(tokens: DataFrame, floor: float = 10.0, line_share: float =
     From the top, a token joins the first line whose first token's middle is within
     ``line_share`` of their mean height (at least ``floor``). In a line, from left to
     right, a piece joins the word so far when the gap is at most ``gap_share`` of the
-    mean height, more when either is a single character. Both are folds over the
-    page's tokens, which meet once. Tokens without a box follow; pages without any
-    box join runs of single letters.
+    mean height, more when either is a single character: a fold over the line.
+    Tokens without a box follow; pages without any box join runs of single letters.
     """
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = tokens.repartition(parts, "doc_id").withColumn("_geo", B.has_extent(F.col("box")))
-    b = F.col("box")
+    b, page = F.col("box"), Window.partitionBy("doc_id")
+    t = tokens.repartition(parts, "doc_id").withColumn("_has", B.has_extent(b)).withColumn("_geo", F.max("_has").over(page))
+    boxed = t.where("_has").withColumns({"_top": b["y_min"], "_x": b["x_min"], "_mid": B.centre_y(b), "_tall": B.height(b)})
+    boxed = boxed.withColumn("_tallest", F.max("_tall").over(page)).drop("_has", "_geo")
+    boxed = _with_lines(boxed.sortWithinPartitions("doc_id", "_top", "_x", "pos"), floor, line_share)
     piece = F.struct(F.col("token_id").cast("long").alias("token_id"), "text", "box", "confidence")
-    token = F.struct(b["y_min"].alias("top"), b["x_min"].alias("x"), F.col("pos").cast("long").alias("pos"), B.centre_y(b).alias("mid"), B.height(b).alias("tall"), piece.alias("piece"))
-    rest = F.struct(F.col("pos").cast("long").alias("pos"), piece.alias("piece"), (F.length(F.trim("text")) == 1).alias("single"),
-                    F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$").alias("solo"))
-    pages = once(t.groupBy("doc_id").agg(
-        F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"), F.coalesce(F.max(F.when(F.col("_geo"), B.height(b))), F.lit(0.0)).alias("_tallest"),
-        F.sort_array(F.collect_list(F.when(F.col("_geo"), token))).alias("_boxed"), F.sort_array(F.collect_list(F.when(~F.col("_geo"), rest))).alias("_plain")),
-        {"_boxed": F.col("_boxed")})
-    pages = once(pages, {"_placed": F.when(F.size("_boxed") > 0, _line_numbers(F.col("_boxed"), F.col("_tallest"), floor, line_share))})
-    pages = once(pages, {"_words": F.when(F.size("_boxed") > 0, _words(F.col("_placed"), gap_share, lone_factor))}).drop("_placed")
-
-    # pages without any box: a letter joins the letters just before it
-    def step(acc: Column, x: Column) -> Column:
-        solo = x["single"] & x["solo"]
-        p = x["piece"]
-        one = F.struct(solo.alias("solo"), F.when(solo, F.trim(p["text"])).otherwise(p["text"]).alias("text"), p["confidence"].alias("sum"), p["token_id"].alias("token_id"),
-                       p["box"].alias("box"), F.array(p["token_id"]).alias("merged"))
-        w = acc["word"]
-        more = F.struct(w["solo"].alias("solo"), F.concat(w["text"], one["text"]).alias("text"), (w["sum"] + one["sum"]).alias("sum"), w["token_id"].alias("token_id"),
-                        w["box"].alias("box"), F.concat(w["merged"], one["merged"]).alias("merged"))
-        joins = F.coalesce(w["solo"] & solo, F.lit(False))
-        kept = F.when(joins | w.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], w))
-        return F.struct(kept.alias("out"), F.when(joins, more).otherwise(one).alias("word"))
-
-    letter = "struct<solo:boolean,text:string,sum:double,token_id:bigint,box:struct<x_min:double,y_min:double,x_max:double,y_max:double>,merged:array<bigint>>"
-    start = F.struct(F.array().cast(f"array<{letter}>").alias("out"), F.lit(None).cast(letter).alias("word"))
-    letters = F.aggregate("_plain", start, step, lambda acc: F.when(acc["word"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["word"])))
-    row = lambda text, box, confidence, token_id, merged: F.struct(
-        token_id.alias("token_id"), text.alias("text"), box.alias("box"), confidence.alias("confidence"), merged.alias("merged"))
-    boxed = F.transform("_words", lambda w: row(w["text"], w["box"], w["confidence"], w["token_id"], w["merged"]))
-    alone = F.transform("_plain", lambda x: row(x["piece"]["text"], x["piece"]["box"], x["piece"]["confidence"], x["piece"]["token_id"], F.array(x["piece"]["token_id"])))
-    made = F.when(F.size("_boxed") > 0, F.concat(boxed, alone)).otherwise(
-        F.transform(letters, lambda w: row(w["text"], w["box"], w["sum"] / F.size(w["merged"]), w["token_id"], w["merged"])))
-    out = once(pages, {"_made": made}).select("doc_id", "page_w", "page_h", F.posexplode("_made").alias("_at", "w"))
-    return out.select("doc_id", (F.col("_at") + 1).alias("pos"), "w.token_id", "w.text", "w.box", "w.confidence", "page_w", "page_h", "w.merged")
+    placed = F.struct(F.col("_line").alias("line"), F.col("_x").alias("x"), F.col("_top").alias("top"), F.col("pos").cast("long").alias("pos"), piece.alias("piece"))
+    lines = boxed.groupBy("doc_id", "_line").agg(
+        F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"), F.sort_array(F.collect_list(placed)).alias("_placed"))
+    lines = once(lines, {"_words": _words(F.col("_placed"), gap_share, lone_factor)})
+    words = lines.select("doc_id", "page_w", "page_h", F.lit(0).alias("_kind"), F.col("_line").cast("long").alias("_line"), F.posexplode("_words").alias("_at", "w"))
+    words = words.select("doc_id", "page_w", "page_h", "_kind", "_line", F.col("_at").cast("long").alias("_at"),
+                         *[F.col(f"w.{c}").alias(c) for c in ("token_id", "text", "box", "confidence", "merged")])
+
+    plain = t.where(~F.col("_has")).withColumn("_solo", ~F.col("_geo") & (F.length(F.trim("text")) == 1) & F.trim("text").rlike(r"(?U)^[\p{L}\p{N}]$"))
+    plain = numbered(plain, [F.asc("pos")], "_k", ("doc_id", "_solo"))
+    # neighbouring letters share the distance from their place to their rank; other tokens stay alone
+    order = F.row_number().over(page.orderBy("pos"))
+    plain = plain.withColumn("_run", F.when(F.col("_solo"), order - F.col("_k")).otherwise(order))
+    letter = F.struct("pos", F.col("token_id").cast("long").alias("token_id"), F.when(F.col("_solo"), F.trim("text")).otherwise(F.col("text")).alias("text"), "box")
+    loose = plain.groupBy("doc_id", "_solo", "_run").agg(
+        F.sort_array(F.collect_list(letter)).alias("r"), F.avg("confidence").alias("confidence"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
+    loose = loose.select(
+        "doc_id", "page_w", "page_h", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_line"), F.col("r")[0]["pos"].cast("long").alias("_at"),
+        F.col("r")[0]["token_id"].alias("token_id"), F.array_join(F.transform("r", lambda x: x["text"]), "").alias("text"), F.col("r")[0]["box"].alias("box"),
+        "confidence", F.transform("r", lambda x: x["token_id"]).alias("merged"))
+    out = numbered(words.unionByName(loose), [F.asc("_kind"), F.asc("_line"), F.asc("_at")], "pos")
+    return out.select("doc_id", "pos", "token_id", "text", "box", "confidence", "page_w", "page_h", "merged")
 
 
 def anchor_regions(
