@@ -89,10 +89,22 @@ def _spelled(ch: Column) -> Column:
     return F.coalesce(listed, F.when(s.between(0, 11171), code_points(0x1100 + F.floor(s / 588), 0x1161 + F.floor(s % 588 / 28), tail)))
 
 
+@lru_cache(maxsize=1)
+def _beyond_latin() -> str:
+    """A short class of what is no Latin letter or sign that folds to one character at most; most texts have none of it."""
+    several = set(_fold_tables()[2])
+    plain = [cp for cp in range(0x250) if chr(cp) not in several]
+    starts = [cp for cp in plain if cp - 1 not in plain]
+    ends = [cp for cp in plain if cp + 1 not in plain]
+    return "[^" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in zip(starts, ends)) + r"\x{2010}-\x{2016}\x{2018}-\x{201f}]"
+
+
 def fold(c: Column) -> Column:
-    """Compatibility-fold and strip combining marks, keeping case and spaces."""
+    """Compatibility-fold and strip combining marks, keeping case and spaces; ASCII stays as it is, Latin text is only translated."""
     matching, replacement, _ = _fold_tables()
-    return F.translate(replace_each(c, _several_class(), _spelled), matching, replacement)
+    return let(c, lambda x: F.when(F.octet_length(x) == F.length(x), x).when(
+        ~x.rlike(_beyond_latin()), F.translate(x, matching, replacement)).otherwise(
+        F.translate(replace_each(x, _several_class(), _spelled), matching, replacement)))
 
 
 def let(value: Column, body) -> Column:
