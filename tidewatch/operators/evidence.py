@@ -14,6 +14,9 @@ SOURCE_COLUMNS = [
     "scope", "fingerprint", "domain", "topics", "entity",
 ]
 
+# Letters of title and text that a source takes over from its page.
+TITLE_LETTERS, BODY_LETTERS = 320, 18000
+
 
 def unite_channels(channels: list[DataFrame]) -> DataFrame:
     """All search channels as one table of hits; a column one lacks is null there."""
@@ -243,8 +246,8 @@ def enrich(
     named = F.when(F.col("_p_title") != "", F.col("_p_title")).otherwise(F.col("title"))
     moved = F.when(F.col("_p_final_url") != "", U.normalise_url(F.col("_p_final_url"))).otherwise(F.col("url"))
     s = once(s, {
-        "published": swap(new_date, "published"), "title": swap(T.truncate_words(named, 320), "title"),
-        "body": swap(T.truncate_words(F.col("_p_body"), 18000), "body"), "is_direct": found | F.col("is_direct"), "url": swap(moved, "url"),
+        "published": swap(new_date, "published"), "title": swap(T.truncate_words(named, TITLE_LETTERS), "title"),
+        "body": swap(T.truncate_words(F.col("_p_body"), BODY_LETTERS), "body"), "is_direct": found | F.col("is_direct"), "url": swap(moved, "url"),
     })
     s = once(s, {
         "_date": F.when(found, T.parse_date(F.col("published"))), "_n": T.normalise(F.concat_ws("\n", "title", "url", "snippet", "body")),

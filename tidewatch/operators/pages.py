@@ -17,6 +17,8 @@ HIDDEN_TAGS = "script|style|noscript|svg|iframe|form"
 # Metadata names that hold the publication date.
 DATE_META = ("article:published_time", "datepublished", "publish_date", "date")
 COMMERCIAL_TYPES = ("COMMERCIAL_CANDIDATE", "ROOT_CANDIDATE")
+# A page's type is told from this much of its start; words of news or commerce further down do not change it.
+TYPE_TEXT, ARTICLE_TEXT, SHOP_TEXT = 5000, 1800, 1500
 
 
 def _page_type(url: Column, n: Column, title: Column, text: Column, rules: PageRules) -> Column:
@@ -24,9 +26,9 @@ def _page_type(url: Column, n: Column, title: Column, text: Column, rules: PageR
     negative = (
         T.contains_any(n, rules.negative_hints)
         | T.contains_any(title, rules.negative_hints)
-        | T.contains_any(F.substring(text, 1, 1800), rules.negative_hints)
+        | T.contains_any(F.substring(text, 1, ARTICLE_TEXT), rules.negative_hints)
     )
-    positive = T.contains_any(n, rules.path_hints) | T.contains_any(F.substring(text, 1, 1500), rules.content_hints)
+    positive = T.contains_any(n, rules.path_hints) | T.contains_any(F.substring(text, 1, SHOP_TEXT), rules.content_hints)
     slashes = F.length(n) - F.length(F.replace(n, F.lit("/"), F.lit("")))
     return (
         F.when(is_blocked(url, rules), "BLOCKED")
@@ -38,7 +40,7 @@ def _page_type(url: Column, n: Column, title: Column, text: Column, rules: PageR
 
 
 def _page_forms(url: Column, title: Column, body: Column) -> list[Column]:
-    return [T.normalise(url), T.normalise(title), T.normalise(F.substring(F.coalesce(body, F.lit("")), 1, 5000))]
+    return [T.normalise(url), T.normalise(title), T.normalise(F.substring(F.coalesce(body, F.lit("")), 1, TYPE_TEXT))]
 
 
 def page_type(url: Column, title: Column, body: Column, rules: PageRules = RULES) -> Column:

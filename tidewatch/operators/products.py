@@ -20,6 +20,8 @@ NAME_KEYS = ("name", "productName", "title")
 UNIT_KEYS = ("unit", "size", "quantity")
 # Fixed value: characters below which a script holds no object.
 SHORTEST_SCRIPT = 20
+# Links that name a product told in text, and letters of such a name.
+NAME_LINKS, NAME_LETTERS = 3, (5, 180)
 CODE_KEYS = ("sku", "productId", "gtin", "gtin13", "mpn")
 
 ITEM_COLUMNS = [
@@ -201,12 +203,12 @@ def text_items(pages: DataFrame) -> DataFrame:
         .select("page_id", "source", "role", "url", "location_note", "page_type", F.posexplode("_ctx").alias("_at", "_c"))
         .withColumn("_text", F.col("_c.context"))
     )
-    linked = F.trim(F.array_join(F.slice("_c.links", 1, 3), " "))
+    linked = F.trim(F.array_join(F.slice("_c.links", 1, NAME_LINKS), " "))
     t = once(t, {"price": T.parse_money(F.try_element_at(F.regexp_extract_all("_text", F.lit(MONEY)), F.lit(-1))), "_linked": linked})
     plain = F.regexp_replace("_text", r"R\$\s*[0-9.,]+", " ")
-    t = once(t.where(F.col("price").isNotNull()), {"name": T.squeeze(F.when(F.length("_linked") < 5, plain).otherwise(F.col("_linked")))})
+    t = once(t.where(F.col("price").isNotNull()), {"name": T.squeeze(F.when(F.length("_linked") < NAME_LETTERS[0], plain).otherwise(F.col("_linked")))})
     return (
-        t.where(F.length("name").between(5, 180) & plausible_price(F.col("name"), F.col("price"), F.col("_text")))
+        t.where(F.length("name").between(*NAME_LETTERS) & plausible_price(F.col("name"), F.col("price"), F.col("_text")))
         .where(T.contains_any(T.normalise(F.col("_text")), TEXT_PRICE_WORDS))
         .select(
             "page_id", F.array(F.col("_at")).alias("visit"), T.normalise(F.col("name")).alias("product_key"),

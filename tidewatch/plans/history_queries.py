@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import matching as M
-from ..sources import history as H
+from ..operators import matching as M, scores as S
+from ..sources import exports, history as H
 from . import inputs as I
 from .extraction_queries import R
 from .inputs import norm_sql
 from .lineage import cut, shared_folder
-from .radar_queries import SOURCES_SQL, _candidates, _sources
+from .radar_queries import ORACLES as RADAR_SQL, SOURCES_SQL, _candidates, _sources
 from .switch_queries import PLAIN
+from .trade_queries import ORACLES as TRADE_SQL, _same_part
 
 DAYS = {"r1": "2024-01-01 00:00:00", "r2": "2024-02-01 00:00:00"}
 
@@ -73,7 +74,38 @@ def same_brand_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return M.product_similarity(pairs).select("p_partkey", T.round_half_up(F.col("similarity"), 4).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (history_tables, pack_quantities, same_brand_similarity)}
+def report_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's table of sources: its first eighty."""
+    return exports.report_tables(sources=_sources(spark, sf))["sources"].select("id", "title", "url", "scope")
+
+
+def report_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's first eight signals."""
+    return exports.report_tables(signals=S.signals(*I.scored_events(spark, sf)))["signals"].select("event_id", "title", "type", "impact", "urgency")
+
+
+def report_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    events, evidence, sources = I.scored_events(spark, sf)
+    return exports.report_tables(gaps=S.gap_statements(S.dimension_scores(events, evidence, sources), events))["gaps"]
+
+
+def report_price_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's six largest price gaps."""
+    return exports.report_tables(price_gaps=_same_part(spark, sf).where("gap_percent is not null"))["price_gaps"].select("target_id", "competitor", "gap_percent")
+
+
+def report_price_war(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's first ten competitors."""
+    return exports.report_tables(price_war=M.price_war(_same_part(spark, sf)))["price_war"]
+
+
+def report_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's first fifteen events."""
+    return exports.report_tables(events=I.scored_events(spark, sf)[0])["events"].select("event_id", "kind", "title", "importance")
+
+
+QUERIES = {f.__name__: f for f in (
+    history_tables, pack_quantities, same_brand_similarity, report_sources, report_signals, report_gaps, report_price_gaps, report_price_war, report_events)}
 
 
 
@@ -112,4 +144,10 @@ SELECT doc_id, pos + 1 AS token_id, {R('v', 2)} AS value_num, 'BRL' AS unit, 'ex
 FROM m WHERE v BETWEEN 0.05 AND 999999""",
     "source_export": f"""WITH {SOURCES_SQL} SELECT id AS "ID", 'geral' AS "Categoria", {norm_sql('title')} AS "Titulo", {norm_sql('url')} AS "URL", published AS "Data", {norm_sql('channel')} AS "Origem",
   scope AS "Escopo", CASE WHEN is_current THEN 'true' ELSE 'false' END AS "Atual", {R('score', 1)} AS "Score", {R('confidence', 3)} AS "Confianca" FROM sources""",
+    "report_sources": f"WITH {SOURCES_SQL} SELECT id, title, url, scope FROM sources ORDER BY id LIMIT 80",
+    "report_signals": f"SELECT event_id, title, type, impact, urgency FROM ({RADAR_SQL['signals'].replace('ORDER BY rank LIMIT 12', 'ORDER BY rank LIMIT 8')}) x",
+    "report_gaps": RADAR_SQL["gap_statements"],
+    "report_price_gaps": TRADE_SQL["price_gaps"].replace("LIMIT 15", "LIMIT 6"),
+    "report_price_war": f"SELECT * FROM ({TRADE_SQL['price_war']}) x ORDER BY competitor_cheaper DESC, abs(mean_gap) DESC, competitor LIMIT 10",
+    "report_events": f"WITH {I.SCORED_EVENTS_SQL} SELECT event_id, kind, title, importance FROM ev ORDER BY rank LIMIT 15",
 }
