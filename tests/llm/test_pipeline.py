@@ -47,6 +47,49 @@ def test_stages(spark):
     assert last.count() == mixed.count()
 
 
+def test_run_against_a_plain_reckoning(spark):
+    """Rows, copies, words per source and digests of the whole pipeline."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+
+    from tidewatch.llm import mixing
+
+    docs = common.documents(spark, SMALL)
+    judged = {r.doc_id for r in quality.judge(docs, common.documents(spark, SMALL, "labels")).where("kept").collect()}
+    rows = {r.doc_id: (r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()}
+    left = kept_by_brute_force(spark, [(i, rows[i][0]) for i in judged])
+    plan = mixing.mix(docs.where(docs["doc_id"].isin(sorted(left)))).collect()
+    want = Counter({r.doc_id: r.copies for r in plan if r.copies})
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter(r.doc_id for r in got) == want
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in got:
+        ids = model.encode(rows[r.doc_id][0], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in plan:
+        source = rows[r.doc_id][1]
+        taken[source] += r.taken
+        target[source] = r.target
+        largest[source] = max(largest[source], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, empty tables and columns with clashing names pass through every stage."""
+    from .cases import SCHEMA, edge_docs, empty_docs
+
+    for docs in (edge_docs(spark), empty_docs(spark)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, SMALL))
+            assert docs.columns == [c.strip().split()[0] for c in SCHEMA.split(",")]
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
