@@ -64,7 +64,7 @@ def test_feed_and_ocr_files(spark, tmp_path):
     t = {r["text"]: r for r in L.read_ocr(spark, str(tmp_path / "o.json")).collect()}
     assert t["A"]["token_id"] == 7 and t["B"]["token_id"] == 2 and t["A"]["page_w"] == 50.0 and t["B"]["confidence"] == 1.0
     (tmp_path / "c.json").write_text('{"arquivo":"p","cards":[{"preco":{"texto":"R$ 1,50"},"textos":[{"texto":"a"},{"texto":"b"},{"texto":"c"}]},{"preco":{"texto":"?"},"textos":[]}]}')
-    c = L.read_cards(spark, str(tmp_path / "c.json"), "Assai").orderBy("pos").collect()
+    c = L.read_cards(spark, str(tmp_path / "c.json"), "Shop A").orderBy("pos").collect()
     assert [(r["name"], r["price"], r["availability"]) for r in c] == [("a b", 1.5, "in_stock"), ("Produto sem nome", None, "unknown")]
 
 
