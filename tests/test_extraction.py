@@ -328,3 +328,47 @@ def test_fragments_follow_the_scan(spark):
     for r in S.merge_fragments(tokens(spark, docs)).orderBy("doc_id", "pos").collect():
         got.setdefault(r["doc_id"], []).append((r["text"], list(r["merged"])))
     assert got == want and len(got["stairs"]) == 30
+
+
+@pytest.mark.parametrize(("name", "most"), [("token_regions", 0), ("fragment_merge", 1)])
+def test_page_steps_move_texts_and_results_only(spark, tmp_path, name, most):
+    from tidewatch.plans.registry import QUERIES
+
+    words = "alpha bo c considerations d e incontrovertible f"
+    spark.createDataFrame([(i, f"{words} {i} " * (i + 1)) for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moves and sum("REPARTITION_BY_NUM" not in line for line in moves) <= most
+    assert df.count() > 0
+
+
+def test_regions_follow_the_nearest_anchor(spark):
+    rng = random.Random(5)
+    docs = {f"p{k}": [("word", (x, y, x + rng.randint(0, 40), y + 10), 0.9) for x, y in ((rng.randint(0, 90) * 10, rng.randint(0, 90) * 10) for _ in range(60))] for k in range(6)}
+    t = tokens(spark, {**docs, "bare": [("word", None, 0.9)]})
+    anchors = t.where("pos % 7 = 0").withColumn("anchor_no", F.col("pos"))
+    # a place that comes twice on a page has one nearest anchor for both rows
+    twice = t.where("pos = 3").withColumn("box", F.struct(*[(F.col(f"box.{c}") + 30).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")]))
+    middle = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+
+    def nearest(page, box):
+        x, y = middle(box)
+        met = []
+        for i, (_, b, _) in enumerate(page):
+            ax, ay = middle(b)
+            if i % 7 == 0 and abs(x - ax) <= 220 and abs(y - ay) <= 100:
+                dy = abs(y - ay) * (1 if y <= ay else 2)
+                met.append((round(((abs(x - ax) * 1.6) ** 2 + dy ** 2) ** 0.5, 6), i))
+        return min(met, default=None)
+
+    want = {}
+    for d, page in docs.items():
+        for i, (_, b, _) in enumerate(page):
+            boxes = [b, tuple(c + 30 for c in b)] if i == 3 else [b]
+            best = min((n for n in (nearest(page, x) for x in boxes) if n), default=None)
+            if i % 7 and best:
+                want[d, i] = best
+    got = S.anchor_regions(t.unionByName(twice), anchors, 0.22, 0.10).collect()
+    assert {(r["doc_id"], r["pos"]): (round(r["distance"], 6), r["anchor_no"]) for r in got} == want
+    assert len(got) == len(want) + sum((d, 3) in want for d in docs)
