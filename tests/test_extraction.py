@@ -163,6 +163,17 @@ def test_diff_follows_the_scan(spark):
     assert {(r["doc_id"], r["old_pos"], r["new_pos"]) for r in rows} == want and len(rows) == len(want)
 
 
+def test_diff_moves_each_side_once(spark):
+    """The items of a page meet on one row: nothing is written between, and a side is shuffled once."""
+    side = spark.createDataFrame([(d, i, f"cafe {i}", float(i), "") for d in ("a", "b", None) for i in range(3)], ITEM)
+    rows = X.compare_extractors(side, side)
+    plan = rows._jdf.queryExecution().sparkPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "FileScan" not in plan
+    # pages without a key never meet
+    assert sorted((r["doc_id"] or "", r["class"]) for r in rows.collect()) == sorted(
+        [(d, "MATCH_EXACT") for d in "ab"] * 3 + [("", "FN_GENERIC")] * 3 + [("", "FN_LEGACY")] * 2 + [("", "FP_GENERIC")])
+
+
 def test_gold_metrics(spark):
     cols = "pos long, entity string, value string"
     def score(ext, gold):
