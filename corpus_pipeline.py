@@ -49,6 +49,11 @@ ORACLE_SQL = None  # learned rules, similarity and tokenizers are beyond SQL; te
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
+    given = {f for t in (docs, common.documents(spark, sf_dir, "labels")) for f in t.inputFiles()}
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        written = common.cut(made)
+        # what only this stage read is no longer needed; the given tables stay
+        common.drop_cut(*[t for t in (made, docs) if not given.intersection(t.inputFiles())])
+        docs = written
     return STAGES[-1][1](spark, docs, sf_dir)

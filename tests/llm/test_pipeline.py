@@ -94,3 +94,22 @@ def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert {"op8_exact_dedup", "op12_fill_in_middle"} <= set(entry.oracle_sql())
+
+
+def test_stages_leave_no_copies_behind(spark, tmp_path):
+    """Once a stage is written, its input and the keyed copy it read are gone; the given tables and the rows stay."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    texts = [" ".join(f"{w}{i}" for w in "the plain words of a long enough text about".split() for i in range(k, k + 9)) + "." for k in range(6)] * 2 + [None]
+    docs = [(i, t, "en", "abc"[i % 3], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = common.documents(spark, SMALL, "labels")
+    labels.where("doc_id < 13").write.parquet(f"{tmp_path}/labels.parquet")
+    files = lambda: {p for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")}
+    with_text = lambda new: [p for p in new if p.is_file() and "text" in pq.read_schema(p).names]
+    before = files()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {p.parent for p in with_text(files() - before)} == {Path(f.removeprefix("file://")).parent for f in out.inputFiles()}
+    assert out.count() > 0 and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 13
