@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewatch.operators import deltas, events as E, evidence as V, pages as P, prices as C, scores as S, signals as G
-from tidewatch.functions import text as T
+from tidewatch.functions import similarity, text as T
 from tidewatch.rules import RadarProfile
 
 HIT = "pos long, title string, url string, snippet string, channel string, published string, category string, target string"
@@ -199,3 +199,39 @@ def test_same_fact_pairs_are_those_of_all_pairs(spark, monkeypatch):
     for cell in (1024, 3):
         monkeypatch.setattr(E, "CELL", cell)
         assert sorted(tuple(r) for r in E.same_fact_pairs(c, 0.70, 0.55, 45).collect()) == want
+
+
+def test_common_lengths_are_those_of_the_table():
+    """Longest common subsequences over word bounds, of empty texts and of letters the other text lacks."""
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abcé漢😀") for _ in range(rng.choice([0, 1, 7, 63, 64, 65, 128, 130, 200])))
+    left, right = [text() for _ in range(150)], [text() for _ in range(150)]
+    assert similarity.common_lengths(left, right).tolist() == [plain(a, b) for a, b in zip(left, right)]
+    for least in (0.3, 0.52, 0.7, 1.0):
+        ratios = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
+        assert all(can for can, r in zip(similarity.may_reach(left, right, least).tolist(), ratios) if r >= least)
+    assert similarity.common_lengths([], []).tolist() == [] and similarity.may_reach([""], [""], 1.0).tolist() == [True]
+
+
+def test_titles_that_surely_differ_are_not_aligned(monkeypatch):
+    """Titles of the same letters in another order are told apart before their blocks are matched, one by one."""
+    rng, calls = random.Random(2), []
+    title = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(11))
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    titles = [title() for _ in range(150)]
+    rows = [{"entity_n": "a", "kind": "DIGITAL", "first": i, "day": i % 40, "date": "x", "title": t, "tokens": t.split(), "length": len(t), "known": None}
+            for i, t in enumerate(titles)]
+    out = E._folder(0.60, 0.40, 45)(rows)
+    assert [r[3] for r in out] == list(range(150)) and len(calls) < 150
+    calls.clear()
+    cell = [{"fact": i, "side": 2, "kind": "DIGITAL", "day": i % 40, "title": t, "tokens": t.split()} for i, t in enumerate(titles)]
+    assert E._cell_pairs(0.60, 0.40, 45)(cell) == [] and len(calls) < 150
