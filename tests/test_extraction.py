@@ -53,6 +53,23 @@ def test_nine_formats_on_one_page(spark):
     assert sorted(found("measurement")) == ["10x5,2g", "1kg", "250g", "500ml"]
 
 
+def test_rules_share_one_pass_over_their_tokens(spark):
+    """Tokens are made once for all seven rules, and those left out tell none of them anything."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    texts = ["R$", "1.250,00", "Remuneração", "2.000", "salário", "900,00", "12,50", "kg", "foo", "/ mês", "99,90", "0812345-67.2026", "00.000.000/0001-00",
+             "17/08/2026", "+15,5%", "٣,٥٠", "250g", None, "", "bar", "10", "%", "US$ 7,00", "honorários 3.000"]
+    t = tokens(spark, {f"d{d}": [(x, None, 0.9) for x in texts[d:] + texts[:d]] for d in range(6)})
+    once = t.withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    got = sorted(map(str, A.detect_anchors(once, list(A.RULES)).collect()))
+    assert made.value == 6 * len(texts)
+    assert got == sorted(map(str, A.detect_anchors(t, [lambda x, r=r: r(x) for r in A.RULES.values()]).collect())) and len(got) > 60
+
+
 def test_overlap_suppression_follows_the_scan(spark):
     rng = random.Random(2)
     rows = []
